@@ -8,14 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
 from .minhash import near_duplicates
+from .quality import risk_controlled
+from .suffixtree import scored
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk_controlled(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))[0]
+
+
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_minhash]
+    found = [op4_minhash, op7_quality, op10_lm]
     return {f.__name__: f for f in found}
 
 
