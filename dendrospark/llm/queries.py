@@ -12,6 +12,7 @@ from . import sql, topk, toxicity, warc
 from .minhash import near_duplicates
 from .packing import pack
 from .quality import risk_controlled
+from .secrets import scanned
 from .suffixtree import scored
 
 
@@ -39,12 +40,16 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk_controlled(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))[0]
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_warc, op3_packing, op4_minhash, op5_toxicity, op6_maxscore, op7_quality, op10_lm]
+    found = [op2_warc, op3_packing, op4_minhash, op5_toxicity, op6_maxscore, op7_quality, op9_secrets, op10_lm]
     return {f.__name__: f for f in found}
 
 
