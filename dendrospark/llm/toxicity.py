@@ -154,28 +154,49 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = 250
     return train(bags(pa.array(texts, pa.string()), BUCKETS), marks_, weight), share
 
 
-def scored(docs: DataFrame, labels: DataFrame, folds: int = 5, **params) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row."""
+def _scores(column: pa.Array, unit: np.ndarray | None, bias: float, share: float) -> np.ndarray:
+    out = []
+    for lo, hi, buf, offs in slices(column):
+        if unit is None:
+            out.append(np.full(hi - lo, share))
+            continue
+        w = words(buf, offs)
+        _, some, which = np.unique(w.hash, return_index=True, return_inverse=True)
+        grams, first = subwords(buf, w.start[some], w.end[some], len(unit))
+        total = np.concatenate([[0.0], np.cumsum(unit[grams])])
+        worth = (total[first[1:]] - total[first[:-1]]) / np.maximum(1, np.diff(first))
+        z = np.bincount(w.doc, weights=worth[which], minlength=hi - lo) / np.maximum(1, w.counts) + bias
+        out.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def _shared(docs: DataFrame, labels: DataFrame, folds: int, params: dict):
     model, share = fit(docs, labels, folds, **params)
     unit = model.unit().astype(np.float64) if model else None
     bias = float(model.bias[1] - model.bias[0]) if model else 0.0
-    shared = docs.sparkSession.sparkContext.broadcast(unit)
+    return docs.sparkSession.sparkContext.broadcast((unit, bias, share))
+
+
+def scored(docs: DataFrame, labels: DataFrame, folds: int = 5, **params) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row."""
+    shared = _shared(docs, labels, folds, params)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u = shared.value
         for batch in batches:
-            for lo, hi, buf, offs in slices(batch.column(1)):
-                if u is None:
-                    score = np.full(hi - lo, share)
-                else:
-                    w = words(buf, offs)
-                    _, some, which = np.unique(w.hash, return_index=True, return_inverse=True)
-                    grams, first = subwords(buf, w.start[some], w.end[some], len(u))
-                    total = np.concatenate([[0.0], np.cumsum(u[grams])])
-                    worth = (total[first[1:]] - total[first[:-1]]) / np.maximum(1, np.diff(first))
-                    z = np.bincount(w.doc, weights=worth[which], minlength=hi - lo) / np.maximum(1, w.counts) + bias
-                    score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+            score = _scores(batch.column(1), *shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
     return out.select("doc_id", held_out(folds).alias("held_out"), "score", "predicted")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, **params) -> DataFrame:
+    """The rows of docs, all columns, that score under 0.5."""
+    shared = _shared(docs, labels, folds, params)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(at), *shared.value) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
