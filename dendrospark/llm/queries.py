@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql, topk, toxicity, warc
+from .bpe import encoded
 from .minhash import near_duplicates
 from .packing import pack
 from .passages import repeated_passages
@@ -45,6 +46,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk_controlled(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))[0]
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -54,7 +59,7 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_substring, op2_warc, op3_packing, op4_minhash, op5_toxicity, op6_maxscore, op7_quality, op9_secrets, op10_lm]
+    found = [op1_substring, op2_warc, op3_packing, op4_minhash, op5_toxicity, op6_maxscore, op7_quality, op8_bpe, op9_secrets, op10_lm]
     return {f.__name__: f for f in found}
 
 
