@@ -9,8 +9,8 @@ Banding: ``bands`` x ``rows`` coordinates; with 32 x 6 a pair at similarity 0.85
 probability 3e-7.  Candidates are confirmed on the full sets.
 
 Hot groups: texts with equal sets are one class before anything is compared.  Each bucket compares
-its members with one pivot, its least class; members that the pivot doesn't settle become pivots in
-later rounds (see ``_settle``), so no link is lost and no bucket is capped.
+its members with one pivot, its least class; what the pivots leave open goes through an exact
+prefix-filter join (see ``_settle``), so no link is lost and no bucket is capped.
 
 Edge cases: null or blank texts have empty sets, n_shingles 0, and link with nothing.  A null doc_id
 takes part in nothing: component null, kept true.  Rows that share a doc_id count as one document,
@@ -31,8 +31,8 @@ from .store import cut, drop
 from .textkit import distinct_sets, list_array, mix, shingles, slices, words
 
 BANDS, ROWS = 32, 6
-#: Further pivots of a bucket that one round compares with its members.
-PIVOTS = 64
+#: Items, and 256 for each node, in a block of nodes that are compared together.
+BLOCK_ITEMS = 1 << 17
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -115,40 +115,89 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _settle(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of the buckets members(key, node) that give the components of all links.
 
-    First every bucket's least node is compared with each other member, which links nearly all of a group of
-    copies.  Then nodes outside the component of their bucket's first pivot become pivots
-    in turn, ``PIVOTS`` of a bucket at a time, so a round makes a number of pairs that is linear in the bucket.
-    Pairs of one component need no look.  Jaccard distance is a metric, so two members whose
-    distances from the first pivot differ by more than the link distance can't link either.
+    First every bucket's least node, its pivot, is compared with each other member, which links nearly all of a
+    group of copies.  A bucket that then holds more than one component is open, and the nodes of open buckets go through
+    an exact prefix-filter join: two sets at the link similarity share an item among the rarest
+    n - ceil(n * percent / 100) + 1 of each, so texts that only have a frequent passage in common never
+    meet.
     """
-    reach = 1 - percent / 100 + 1e-9
     hubs = members.groupBy("key").agg(F.min("node").alias("pivot"))
     placed = cut(members.join(hubs, "key").where("node <> pivot"), "mh-placed")
     seen = cut(_verified(placed.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets, percent), "mh-seen")
     links = seen.where("linked").select("a", "b")
-    d = seen.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("common") / F.col("joint")).alias("d"), "linked")
-    state = cut(placed.join(d, ["node", "pivot"]), "mh-state")
-    drop(placed)
-    if state.where("not linked").isEmpty():
-        drop(state)
+    if seen.where("not linked").isEmpty():
+        drop(placed)
         return links
-    comp = components(links)
-    side = comp.select("node", F.col("comp").alias("side"))
-    rest = state.join(state.where("not linked").select("key").distinct(), "key").join(side, "node", "left")
-    rest = rest.join(side.select(F.col("node").alias("pivot"), F.col("side").alias("main")), "pivot", "left")
-    rest = rest.select("key", "node", "d", F.coalesce("side", "node").alias("side"), F.coalesce("main", "pivot").alias("main"))
-    far = rest.where("side <> main").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("node")))
-    rest, far = cut(rest, "mh-rest"), cut(far, "mh-far")
-    drop(state)
-    last = far.agg(F.max("rank")).first()[0] or 0
-    others = rest.select("key", F.col("node").alias("b"), F.col("d").alias("e"), F.col("side").alias("b_side"))
-    for done in range(0, last, PIVOTS):
-        pivots = far.where((F.col("rank") > done) & (F.col("rank") <= done + PIVOTS)).select("key", F.col("node").alias("a"), "d", "side")
-        pairs = pivots.join(others, "key").where((F.col("side") != F.col("b_side")) & (F.abs(F.col("d") - F.col("e")) <= reach))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.union(cut(_verified(pairs, sets, percent).where("linked").select("a", "b"), "mh-more"))
-    drop(rest, far)
-    return links
+    side = components(links).select("node", F.col("comp").alias("side"))
+    placed = placed.join(side, "node", "left").join(side.select(F.col("node").alias("pivot"), F.col("side").alias("main")), "pivot", "left")
+    placed = placed.select("key", "node", "pivot", (F.coalesce("side", "node") != F.coalesce("main", "pivot")).alias("far"))
+    still = placed.groupBy("key", "pivot").agg(F.max("far").alias("far")).where("far")
+    rest = placed.join(still.select("key"), "key").select("node").union(still.select("pivot")).distinct()
+    rest = cut(rest.join(side, "node", "left").withColumn("side", F.coalesce("side", "node")), "mh-rest")
+    items = sets.join(rest.select("node"), "node").select("node", F.explode("items").alias("item"))
+    df = items.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ordered = items.join(df, "item", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "item"))).alias("x"))
+    size = F.size("x")
+    prefix = ordered.select("node", F.explode(F.slice("x", F.lit(1), size - F.ceil(size * F.lit(percent) / 100).cast("int") + 1)).alias("y"))
+    prefix = cut(prefix.where("y.df > 1").select("node", F.col("y.item").alias("key")).join(rest, "node"), "mh-prefix")
+    hubs = prefix.groupBy("key").agg(F.min("node").alias("hub"), F.min("side").alias("main"), F.max("side").alias("other")).where("main < other")
+    near = components(prefix.join(hubs.select("key", "hub"), "key").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    drop(placed, prefix)
+    return links.union(cut(_within_clouds(near.select("node", F.col("comp").alias("cloud")).join(rest, "node"), sets, percent), "mh-more"))
+
+
+def _within_clouds(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different sides of nodes(node, cloud, side), each cloud compared block by block.
+
+    A cloud's nodes, by rising set size, form blocks of about ``BLOCK_ITEMS`` items; two blocks meet
+    where their sizes allow a link.  A task holds two blocks, counts common items as a matrix product
+    and gives one link for each pair of sides, so no pair of nodes is ever a row.
+    """
+    sized = nodes.join(sets.select("node", F.size("items").alias("size")).dropDuplicates(["node"]), "node")
+    running = F.sum(F.col("size") + 256).over(Window.partitionBy("cloud").orderBy("size", "node"))
+    placed = cut(sized.withColumn("block", F.floor((running - 1) / BLOCK_ITEMS)), "mh-blocks")
+    blocks = placed.groupBy("cloud", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    later = blocks.select("cloud", F.col("block").alias("j"), "low")
+    meet = blocks.select("cloud", F.col("block").alias("i"), "high").join(later, "cloud").where((F.col("i") <= F.col("j")) & (100 * F.col("high") >= percent * F.col("low")))
+    both = meet.select("cloud", "i", "j", F.col("i").alias("block")).union(meet.where("i < j").select("cloud", "i", "j", F.col("j").alias("block")))
+    rows = placed.join(both, ["cloud", "block"]).join(sets, "node").select("cloud", "i", "j", "block", "node", "side", "items")
+
+    def run(table: pa.Table) -> pa.Table:
+        block = table.column("block").to_numpy()
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        node, side = table.column("node").to_numpy(), table.column("side").to_numpy()
+        lists = table.column("items").combine_chunks()
+        flat, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        a, b = _links(flat, at, left, right, side, percent)
+        return pa.table({"a": pa.array(np.minimum(node[a], node[b])), "b": pa.array(np.maximum(node[a], node[b]))})
+
+    return rows.groupBy("cloud", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _links(flat: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, side: np.ndarray, percent: int, wide: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (a, b), a in left and b in right, that link: one for each pair of different sides."""
+    if len(np.unique(side)) == 1:
+        return left[:0], right[:0]
+    size = np.diff(at)
+    pick = lambda rows: (np.concatenate([flat[at[r] : at[r + 1]] for r in rows]), np.repeat(np.arange(len(rows)), size[rows]))
+    (x, xr), (y, yr) = pick(left), pick(right)
+    shared = np.intersect1d(x, y)
+    keep = lambda v, r: ((p := np.minimum(np.searchsorted(shared, v), max(len(shared) - 1, 0))), shared[p] == v, r) if len(shared) else (v[:0], v[:0] == 0, r[:0])
+    common = np.zeros((len(left), len(right)), dtype=np.float64)
+    (xp, xk, xr), (yp, yk, yr) = keep(x, xr), keep(y, yr)
+    xp, xr, yp, yr = xp[xk], xr[xk], yp[yk], yr[yk]
+    for lo in range(0, len(shared), wide):
+        m, n = (np.zeros((k, wide), dtype=np.float32) for k in (len(left), len(right)))
+        for dense, p, r in ((m, xp, xr), (n, yp, yr)):
+            here = (p >= lo) & (p < lo + wide)
+            dense[r[here], p[here] - lo] = 1
+        common += m @ n.T
+    joint = size[left][:, None] + size[right][None, :] - common
+    a, b = np.nonzero((100 * common >= percent * joint) & (side[left][:, None] != side[right][None, :]))
+    a, b = left[a], right[b]
+    _, first = np.unique(np.stack([side[a], side[b]], axis=1), axis=0, return_index=True)
+    return a[first], b[first]
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
