@@ -177,6 +177,6 @@ def pack(docs: DataFrame, tokenizer_path: str, targets: dict[str, float] | None
     parts = parts.withColumn("part_base", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(supers, "super")
     parts = parts.select("window_id", "queue", "k0", (F.col("part_base") + F.col("super_base")).alias("base"))
     at = placed.join(parts, ["window_id", "queue"]).select("row", "window_id", (F.col("base") + F.col("k") - F.col("k0")).alias("at"))
-    joined = coded.join(at, "row").select("doc_id", "doc_tokens", "ids", "at", "source", "window_id")
+    joined = coded.join(at.hint("merge"), "row").select("doc_id", "doc_tokens", "ids", "at", "source", "window_id")
     out = joined.mapInArrow(_pieces(seq_len, int(total)), "doc_id long, source string, window_id long, doc_tokens long, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "window_id")
