@@ -1,9 +1,5 @@
 """Registered queries over the driver's tables and their SQL counterparts."""
 
+from .catalogue import oracle_sql, queries
 
-def queries():
-    return {}
-
-
-def oracle_sql():
-    return {}
+__all__ = ["oracle_sql", "queries"]
