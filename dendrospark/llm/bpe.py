@@ -5,7 +5,7 @@ distinct words of all chunks are encoded once, and each chunk's documents are pu
 words, so no occurrence of a word is shuffled and no vocabulary is broadcast.
 
 A word is an array of hex bytes.  A fold over its length joins, each time, the leftmost neighbouring pair of the least rank;
-ranks come from a literal map, which is laid out as an array of small maps by hash because a map literal is
+ranks come from a literal map, which is laid out as an array of short strings by hash because a map literal is
 searched from its start.  A word that is a rank itself is that token at once, as in the library.
 Pieces join to bytes again in decoding.  Words of more than ``LONG_WORD`` bytes, whose fold would take
 the square of their length, are merged with a heap where their document is put together; results are the same.
@@ -19,7 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import json
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,14 +38,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """array<map<hex, rank>> by crc32(hex) modulo BUCKETS, as a constant that Spark folds."""
-    import zlib
-
-    rows: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    """array<string> by crc32(hex) modulo BUCKETS, each ``|hex=rank|hex=rank|``, as a constant that Spark folds."""
+    rows = ["|"] * BUCKETS
     for piece, rank in ranks.items():
         h = piece.hex().upper()
-        rows[zlib.crc32(h.encode()) % BUCKETS][h] = rank
-    return F.from_json(F.lit(json.dumps(rows, separators=(",", ":"))), "array<map<string,int>>")
+        rows[zlib.crc32(h.encode()) % BUCKETS] += f"{h}={rank}|"
+    return F.split(F.lit(",".join(rows)), ",")
 
 
 def _bind(value: Column, body) -> Column:
@@ -54,26 +52,39 @@ def _bind(value: Column, body) -> Column:
 
 
 def encode_column(word: Column, table: Column) -> Column:
-    """The ranks of a binary word, as array<int>."""
+    """The ranks of a binary word, as array<int>; the literal stands in the plan once and is bound to a variable."""
+    return _bind(table, lambda bound: _encode(word, bound))
+
+
+def _encode(word: Column, table: Column) -> Column:
 
     def rank(piece: Column) -> Column:
-        return F.try_element_at(F.element_at(table, (F.crc32(piece.cast("binary")) % BUCKETS + 1).cast("int")), piece)
+        row = F.element_at(table, (F.crc32(piece.cast("binary")) % BUCKETS + 1).cast("int"))
+        at = F.instr(row, F.concat(F.lit("|"), piece, F.lit("=")))
+        return F.when(at > 0, F.substring_index(F.substr(row, at + F.length(piece) + 2), "|", 1).cast("int"))
 
     def step(state: Column, _: Column) -> Column:
-        p = state["p"]
+        """p: pieces; r: ranks of neighbouring pairs; only those beside a merge are looked up again."""
+        p, r = state["p"], state["r"]
+
+        def joined(at: Column) -> Column:
+            def put(m: Column) -> Column:
+                left = F.when(at > 1, F.array(rank(F.concat(F.element_at(p, at - 1), m)))).otherwise(F.array().cast("array<int>"))
+                right = F.when(at + 1 < F.size(p), F.array(rank(F.concat(m, F.element_at(p, at + 2))))).otherwise(F.array().cast("array<int>"))
+                new_p = F.concat(F.slice(p, F.lit(1), at - 1), F.array(m), F.slice(p, at + 2, F.size(p)))
+                new_r = F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(p)))
+                return F.struct(new_p.alias("p"), new_r.alias("r"))
 
-        def joined(r: Column) -> Column:
-            at = F.array_position(r, F.array_min(r)).cast("int")
-            new = F.concat(F.slice(p, F.lit(1), at - 1), F.array(F.concat(F.element_at(p, at), F.element_at(p, at + 1))), F.slice(p, at + 2, F.size(p)))
-            return F.when(F.array_min(r).isNull(), F.struct(p.alias("p"), F.lit(False).alias("go"))).otherwise(F.struct(new.alias("p"), (F.size(p) > 2).alias("go")))
+            return _bind(F.concat(F.element_at(p, at), F.element_at(p, at + 1)), put)
 
-        pairs = F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda a, b: rank(F.concat(a, b)))
-        return F.when(state["go"], _bind(pairs, joined)).otherwise(state)
+        least = F.array_min(r)
+        return F.when(least.isNull(), state).otherwise(_bind(F.array_position(r, least).cast("int"), joined))
 
     text = F.hex(word)
     n = F.octet_length(word)
     single = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(text, 2 * i + 1, F.lit(2)))
-    start = F.struct(single.alias("p"), (n > 1).alias("go"))
+    pairs = F.zip_with(F.slice(single, F.lit(1), n - 1), F.slice(single, F.lit(2), n), lambda a, b: F.when(b.isNotNull(), rank(F.concat(a, b))))
+    start = F.struct(single.alias("p"), pairs.alias("r"))
     folded = F.aggregate(F.sequence(F.lit(1), n), start, step)["p"]
     return _bind(rank(text), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(folded, rank)))
 
