@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import census, cluster, differential, graph, normalize, plotdata, preprocess
+from ..operators import census, cluster, differential, graph, models, normalize, plotdata, preprocess, reduce
 from ..sources import from_embeddings, from_events, from_lineitem
 
 A, B = 0.05, 1.0
@@ -435,6 +435,37 @@ def _(s, d):
     return s.createDataFrame([(fit["asymptDisp"], fit["extraPois"])], "asymptDisp double, extraPois double")
 
 
+def timed(s, d):
+    cds = sized(s, d)
+    return cds.with_(cells=cds.cells.withColumn("Pseudotime", F.col("pt")))
+
+
+@query("de_spline")
+def _(s, d):
+    return models.differential_gene_test(timed(s, d)).select("gene_id", "status", "family", "pval", "qval")
+
+
+@query("smooth_curves")
+def _(s, d):
+    import numpy as np
+    import pandas as pd
+
+    cds = timed(s, d)
+    low, high = cds.cells.agg(F.min("pt"), F.max("pt")).first()
+    return models.smooth_curves(cds, pd.DataFrame({"Pseudotime": np.linspace(low, high, 20)}))
+
+
+@query("beam")
+def _(s, d):
+    cds = timed(s, d)
+    return models.beam(cds.with_(cells=cds.cells.withColumn("Branch", F.col("batch").cast("string")))).select("gene_id", "status", "pval", "qval")
+
+
+@query("pca")
+def _(s, d):
+    return reduce.pca(normalize.normalize_expr(sized(s, d)), 5)[0]
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
