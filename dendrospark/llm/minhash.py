@@ -202,7 +202,7 @@ def _links(flat: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links), kept (doc_id = component_id)."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
     sk = cut(docs.mapInArrow(_sketches(k, bands, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "mh-sketch")
     live = sk.where("n_shingles > 0 and doc_id is not null")
     classes = cut(live.groupBy("set_key").agg(F.min("doc_id").alias("node")), "mh-classes")
