@@ -132,7 +132,7 @@ def encoded(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([c] * len(found[c]), pa.int32()), pa.array(list(found.pop(c)), pa.string())], ["chunk", "word"])
 
         for batch in batches:
-            for t, c in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for t, c in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 mine = found.setdefault(c, set())
                 mine.update(find(t.as_py()))
                 if len(mine) > HELD_WORDS:
@@ -140,7 +140,8 @@ def encoded(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
         for c in list(found):
             yield out(c)
 
-    wanted = dealt.select("text", "chunk").mapInArrow(asked, "chunk int, word string").distinct().where(F.octet_length("word") <= LONG_WORD)
+    # both uses of ``dealt`` read all its columns, so that Spark shuffles it once and reuses the exchange
+    wanted = dealt.mapInArrow(asked, "chunk int, word string").distinct().where(F.octet_length("word") <= LONG_WORD)
     table = rank_literal(ranks)
     known = wanted.select("word").distinct().select("word", encode_column(F.col("word").cast("binary"), table).alias("ids"))
     answers = wanted.join(known, "word").select("chunk", "word", "ids")
