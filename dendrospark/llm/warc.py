@@ -44,8 +44,8 @@ def archive(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> tuple[DataF
     marks = cut(rows.select("page_id", "row", "url", F.sha2("payload", 256).alias("digest"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("bytes")), "warc-marks")
     first = marks.groupBy("digest").agg(F.max("page_id").alias("response"), F.min("row").alias("holder"))
     payloads = rows.select("row", "payload").withColumn("digest", F.sha2("payload", 256))
-    blobs = cut(payloads.join(first.select(F.col("holder").alias("row")), "row", "left_semi").select("digest", "payload"), "warc-blobs")
-    known = marks.join(first, "digest")
+    blobs = cut(payloads.join(first.select(F.col("holder").alias("row")).hint("merge"), "row", "left_semi").select("digest", "payload"), "warc-blobs")
+    known = marks.join(first.hint("merge"), "digest")
     again = (F.col("bytes") >= revisit_bytes) & F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     kind = F.when(again, "revisit").otherwise("response")
     clean = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
@@ -69,7 +69,7 @@ def archive(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> tuple[DataF
 def records(headers: DataFrame, blobs: DataFrame) -> DataFrame:
     """page_id, record (the exact bytes of the WARC record), payload (also of a revisit, through its digest)."""
     checked = blobs.select("digest", F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.lit("a payload doesn't match its digest"))).alias("payload"))
-    both = headers.join(checked, "digest", "left")
+    both = headers.join(checked.hint("merge"), "digest", "left")
     block = F.when(F.col("has_block"), F.col("payload")).otherwise(F.lit(b""))
     return both.select("page_id", F.concat("header", block, F.lit(b"\r\n\r\n")).alias("record"), "payload")
 
