@@ -31,12 +31,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import cut
-from .textkit import slices, words
+from .textkit import Words, slices, span_hashes, words
 
 SEQ_LEN = 4096
 END_ID = 2
 #: Distinct words that a worker keeps the ids of; beyond it starts anew.
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 3_000_000
+
+
+def _plain_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, Words]:
+    """Words cut down to fewer distinct ones with the same ids: ASCII words in lower case, as the tokenizer has no other, and
+    a full stop or comma after an ASCII letter as a word of its own, as the tokenizer's pattern splits there."""
+    w = words(buf, offs, lower=False, hashed=False)
+    wide = np.concatenate([[0], np.cumsum(buf >= 128)])
+    ascii_ = wide[w.end] == wide[w.start]
+    fold = np.zeros(len(buf) + 1, dtype=np.int8)
+    fold[w.start[ascii_]] += 1
+    fold[w.end[ascii_]] -= 1
+    upper = (np.cumsum(fold)[:-1] > 0) & (buf >= 65) & (buf <= 90)
+    buf = np.where(upper, buf + 32, buf).astype(np.uint8)
+    last, before = buf[w.end - 1], buf[np.maximum(w.end - 2, 0)] | 32
+    split = ((last == 46) | (last == 44)) & (w.end - w.start > 1) & (before >= 97) & (before <= 122)
+    at = np.flatnonzero(split)
+    start = np.insert(w.start, at + 1, w.end[at] - 1)
+    end = np.insert(np.where(split, w.end - 1, w.end), at + 1, w.end[at])
+    first = w.first + np.concatenate([[0], np.cumsum(split)])[w.first]
+    doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
+    return buf, Words(doc, start, end, span_hashes(buf, start, end), first)
 
 
 class WordTokens:
@@ -60,7 +81,7 @@ class WordTokens:
         self.flat = np.zeros(0, np.uint16)
 
     def learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        ids = [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.uint16, int(size.sum()))
         at = len(self.flat) + np.concatenate([[0], np.cumsum(size)[:-1]])
@@ -71,7 +92,7 @@ class WordTokens:
 
     def encode(self, buf: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each row's followed by end_id, and each row's first."""
-        w = words(buf, offs, lower=False)
+        buf, w = _plain_words(buf, offs)
         uniq, some, which = np.unique(w.hash, return_index=True, return_inverse=True)
         if len(self.keys) + len(uniq) > CACHED_WORDS:
             self.forget()

@@ -95,7 +95,7 @@ def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((total[end] - total[start]) * inv[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def words(buf: np.ndarray, offs: np.ndarray, lower: bool = True) -> Words:
+def words(buf: np.ndarray, offs: np.ndarray, lower: bool = True, hashed: bool = True) -> Words:
     if lower:
         buf = _LOWER[buf]
     inside = ~SPACE[buf]
@@ -112,7 +112,7 @@ def words(buf: np.ndarray, offs: np.ndarray, lower: bool = True) -> Words:
         start = end = np.zeros(0, dtype=np.int64)
     first = np.searchsorted(start, offs, "left")
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-    return Words(doc, start, end, span_hashes(buf, start, end), first)
+    return Words(doc, start, end, span_hashes(buf, start, end) if hashed else np.zeros(0, np.uint64), first)
 
 
 def shingles(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
