@@ -93,8 +93,8 @@ def by_chunk(docs: DataFrame, vocabulary: DataFrame, keep: list[str], score: Cal
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), c, np.int32)), pa.array(keys.view(np.int64))], ["chunk", "key"])
 
         for batch in batches:
-            chunk = batch.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi, buf, offs in slices(batch.column(0)):
+            chunk = batch.column(len(keep) + 1).to_numpy(zero_copy_only=False)
+            for lo, hi, buf, offs in slices(batch.column(len(keep))):
                 w = words(buf, offs)
                 of = chunk[lo:hi][w.doc]
                 for c in np.unique(of).tolist():
@@ -105,7 +105,8 @@ def by_chunk(docs: DataFrame, vocabulary: DataFrame, keep: list[str], score: Cal
         for c in list(found):
             yield out(c)
 
-    wanted = dealt.select("text", "chunk").mapInArrow(asked, "chunk int, key long").distinct()
+    # both uses of ``dealt`` read all its columns, so that Spark shuffles it once and reuses the exchange
+    wanted = dealt.mapInArrow(asked, "chunk int, key long").distinct()
     answers = wanted.join(vocabulary, "key").select("chunk", "key", "n")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
