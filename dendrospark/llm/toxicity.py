@@ -22,12 +22,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import mix, slices, span_hashes, words
+from .store import cut, drop
+from .textkit import slices, span_hashes, words
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
@@ -128,25 +128,26 @@ def held_out(folds: int = 5):
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = 2500, sample_bytes: int = 12 << 20, positive_weight: float = 2.0) -> tuple[Model | None, float]:
     """The model, or None where a class has no labelled row, and the share of label 1 among labelled training rows."""
     marks = labels.select("doc_id", "toxic").where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("mark"), F.max("toxic").alias("other")).where("mark = other")
-    train_docs = docs.select("doc_id", "text").where(~held_out(folds))
-    marked = train_docs.join(marks.select("doc_id", "mark"), "doc_id").select("mark", F.coalesce("text", F.lit("")).alias("text"))
-    marked = marked.withColumn("size", F.octet_length("text")).where(F.col("size") <= sample_bytes).withColumn("order", F.xxhash64("text"))
+    train_docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).where(~held_out(folds))
+    # sizes and hashes are joined with the labels; only the chosen texts, few by the parameters, are fetched
+    narrow = train_docs.select("doc_id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("order"))
+    marked = cut(narrow.join(marks.select("doc_id", "mark").hint("merge"), "doc_id").where(F.col("size") <= sample_bytes), "toxic-marks")
     sizes = {r["mark"]: r["count"] for r in marked.groupBy("mark").count().collect()}
     if len(sizes) < 2:
         return None, float(sizes.get(1, 0) > 0)
     share = sizes[1] / sum(sizes.values())
-    texts, kinds = [], []
+    chosen = []
     for kind in (0, 1):
-        own = marked.where(F.col("mark") == kind)
-        room, last = sample_bytes, None
-        for r in own.select("order", "size").orderBy("order").limit(per_class).collect():
+        room = sample_bytes
+        for r in marked.where(F.col("mark") == kind).orderBy("order", "doc_id").limit(per_class).collect():
             room -= r["size"]
             if room < 0:
                 break
-            last = r["order"]
-        got = own.where(F.col("order") <= last).select("order", "text").orderBy("order").limit(per_class).toPandas() if last is not None else pd.DataFrame({"text": []})
-        texts += got["text"].tolist()
-        kinds += [kind] * len(got)
+            chosen.append((r["doc_id"], r["order"], int(kind)))
+    few = docs.sparkSession.createDataFrame(chosen, "doc_id long, order long, mark int").distinct()
+    got = train_docs.withColumn("order", F.xxhash64("text")).join(F.broadcast(few), ["doc_id", "order"]).select("doc_id", "order", "mark", "text").dropDuplicates(["doc_id", "order"]).toPandas().sort_values(["mark", "order", "doc_id"])
+    texts, kinds = got["text"].tolist(), got["mark"].tolist()
+    drop(marked)
     marks_ = np.array(kinds)
     # the sample's odds against the odds of all labelled rows
     n1, n0 = int((marks_ == 1).sum()), int((marks_ == 0).sum())
