@@ -261,6 +261,30 @@ def test_passages_are_found_and_cut(docs, none):
     assert passages.repeated_passages(none).count() == 0
 
 
+def test_passages_hold_every_exact_run_of_an_earlier_document(spark):
+    data = {}
+    for i in range(24):
+        a, b = prose(200 + i, [60, 80, 100, 50][i % 4]), [30, 40, 45, 20][i % 4]
+        at = (len(a) - b) // 2
+        data[i] = prose(300 + i, 40) + a[at : at + b] + prose(400 + i, 30)
+        data[100 + i] = prose(500 + i, 3) + a[: len(a) // 2] + prose(600 + i, 40)
+        data[500 + i], data[900 + i] = prose(700 + i, 35) + a + prose(800 + i, 45), prose(900 + i, 55) + a + prose(1000 + i, i)
+    data[950], data[951], data[952] = ["so"] * 130, ["so"] * 90, prose(1, 49)
+    data[953] = data[952]
+    found = passages.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in data.items()], "doc_id long, text string")).collect()
+    first, got = {}, {i: set() for i in data}
+    for r in found:
+        assert r.anchor_id < r.doc_id
+        got[r.doc_id].update(range(r.start_word, r.end_word))
+        if r.equal_words == r.end_word - r.start_word == r.anchor_end - r.anchor_start:
+            assert data[r.doc_id][r.start_word : r.end_word] == data[r.anchor_id][r.anchor_start : r.anchor_end]
+    for i in sorted(data):
+        runs = [(tuple(data[i][j : j + 50]), j) for j in range(len(data[i]) - 49)]
+        want = {x for run, j in runs if first.setdefault(run, i) < i for x in range(j, j + 50)}
+        assert want <= got[i], i
+        assert bool(want) == bool(got[i]), i
+
+
 def test_chains_equal_quadratic_search():
     rng = np.random.default_rng(5)
     for _ in range(30):
