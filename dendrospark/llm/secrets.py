@@ -40,7 +40,7 @@ SENSITIVE = {
 }
 LEAST_SCORE = 4.0
 PAIR = re.compile(
-    r"""(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,79})["'\]]{0,2}[\x20\t]*(?::=|=>|=|:)[\x20\t]*(?:(?P<quote>["'])(?P<text>(?:\\.|(?!(?P=quote))[^\\\n]){1,512})(?P=quote)|(?P<bare>[A-Za-z0-9_+/.=\-]{1,512}))"""
+    r"""(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,79})["'\]]{0,2}[\x20\t]*(?::=|=>|=|:)[\x20\t]*(?:(?P<quote>["'])(?P<text>(?:\\.|(?!(?P=quote))[^\\\n])++)(?P=quote)|(?P<bare>[A-Za-z0-9_+/.=\-]++))"""
 )
 _PLAIN = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")

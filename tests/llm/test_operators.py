@@ -216,6 +216,16 @@ def test_secrets(docs):
     assert clean.columns == docs.columns and clean.where("text like '%AKIA%'").count() == 0 and clean.count() == len(rows())
 
 
+def test_secrets_read_literals_of_any_length():
+    rng = np.random.default_rng(7)
+    for n in (40, 511, 512, 513, 600, 5000):
+        value = "".join(rng.choice(list("GHJKLMNPQRSTghjkmnpqrstuvwxyz23456789"), n))
+        for text in (f'private_key_pwd = "{value}"\nx', f"private_key_pwd={value}\nx", f"db_pwd: {value}== user=bob"):
+            found = [text[a:b] for a, b, k in secrets.scan(text) if k == 3]
+            assert [x.rstrip("=") for x in found] == [value]
+    assert secrets.scan("a_pwd='" * 20000) is not None
+
+
 def test_suffix_tree_base_scores_and_normalisation(docs, none):
     got = suffixtree.scored(docs).collect()
     out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
