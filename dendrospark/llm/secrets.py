@@ -5,7 +5,7 @@ kind ``lexed``: it reads name-literal pairs (``name = "x"``, ``name: x``, ``"nam
 ``name="x"``), splits names at case changes and punctuation, and scores each literal by the
 sensitive words among the parts of its names and by how random its characters are.  Constants propagate: with ``K = "x"`` and
 ``db_password = K`` the literal x is also judged by the second name, through any
-chain of plain names.  A literal counts when its score reaches ``LEAST_SCORE`` and it doesn't overlap a base span.
+chain of names that the text assigns and plain names without digits.  The names of ``a: type = b = "x"`` all name x.  A literal counts when its score reaches ``LEAST_SCORE`` and it doesn't overlap a base span.
 
 Spans are code points, end exclusive.
 
@@ -39,9 +39,11 @@ SENSITIVE = {
     "auth": 1, "key": 1, "private": 1, "access": 1, "api": 1, "signing": 1, "bearer": 2, "salt": 1, "cookie": 1, "session": 1,
 }
 LEAST_SCORE = 4.0
-PAIR = re.compile(
-    r"""(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,79})["'\]]{0,2}[\x20\t]*(?::=|=>|=|:)[\x20\t]*(?:(?P<quote>["'])(?P<text>(?:\\.|(?!(?P=quote))[^\\\n])++)(?P=quote)|(?P<bare>[A-Za-z0-9_+/.=\-]++))"""
-)
+# The syntax that the lexer reads. Values have no greatest length; their repeats are possessive, so they stay linear.
+HEAD = re.compile(r"""(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,79})["'\]]{0,2}(?P<space>[\x20\t]*)(?P<sep>:=|=>|=|:)[\x20\t]*""")
+TYPED = re.compile(r"""(?P<type>[A-Za-z_][A-Za-z0-9_.]*+)(?:\[[^\n:="']*\])?(?:[\x20\t]*\|[\x20\t]*[A-Za-z0-9_.]++)*+[\x20\t]*=[\x20\t]*(?![=>])""")
+QUOTED = re.compile(r"""(?P<quote>["'])(?P<text>(?:\\.|(?!(?P=quote))[^\\\n])++)(?P=quote)""")
+BARE = re.compile(r"[A-Za-z0-9_+/.=\-]++")
 _PLAIN = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -62,28 +64,61 @@ def literal_score(value: str) -> float:
     return min(2.0, max(0.0, bits - 2.0)) + (1.0 if kinds >= 2 else 0.0)
 
 
+def _read(text: str) -> tuple[list[tuple[int, int, bool, list[str]]], set[str]]:
+    """(start, end, quoted, names) of every value, named by all names of its assignment, and the names that are only types."""
+    values, heads, types = [], set(), set()
+    at = 0
+    while m := HEAD.search(text, at):
+        names = []
+        while True:
+            names.append(m["name"])
+            heads.add(m["name"])
+            at = m.end()
+            if m["sep"] == ":" and (kind := TYPED.match(text, at)):
+                names.append(kind["type"])
+                types.add(kind["type"])
+                at = kind.end()
+            following = HEAD.match(text, at)
+            # base64 ends in "=" too: without spaces only a quote makes it an assignment
+            if not following or following["sep"] == ":" or text.startswith("=", following.end()) or not (following["space"] or text[following.end() : following.end() + 1] in ('"', "'")):
+                break
+            m = following
+        if q := QUOTED.match(text, at):
+            values.append((*q.span("text"), True, names))
+            at = q.end()
+        elif q := BARE.match(text, at):
+            if following and following["sep"] == ":":
+                continue  # what comes is a pair of its own
+            values.append((*q.span(), False, names + q[0].rstrip("=").split("=")[:-1]))
+            at = q.end()
+    return values, types - heads
+
+
 def lexed(text: str) -> list[tuple[int, int]]:
     """Spans of literals that sensitive names hold, directly or through constants."""
     if "=" not in text and ":" not in text:
         return []
-    literals: list[tuple[int, int, str, str]] = []
+    values, types = _read(text)
+    assigned = {n for *_, names in values for n in names}
+    literals: list[tuple[int, int, list[str], str]] = []
     gives: dict[str, list[str]] = {}
-    for m in PAIR.finditer(text):
-        name, bare = m["name"], m["bare"]
-        if bare is not None and _PLAIN.match(bare) and not any(c.isdigit() for c in bare):
-            gives.setdefault(bare, []).append(name)
-        elif m["text"] is not None:
-            literals.append((*m.span("text"), name, m["text"]))
+    for a, b, quoted, names in values:
+        value = text[a:b]
+        last = value.rsplit("=", 1)[-1]
+        if not quoted and (last in assigned or (_PLAIN.match(value) and not any(c.isdigit() for c in value))):
+            gives.setdefault(last, []).extend(names)
         else:
-            literals.append((*m.span("bare"), name, bare))
+            literals.append((a, b, names, value))
     out = []
-    for a, b, name, value in literals:
+    for a, b, held, value in literals:
         worth = literal_score(value)
         if not worth:
             continue
-        names, todo = {name}, [name]
+        names, todo = set(held), list(held)
         while todo:
-            for to in gives.get(todo.pop(), ()):
+            if (name := todo.pop()) in types:
+                continue
+            for to in gives.get(name, ()):
                 if to not in names:
                     names.add(to)
                     todo.append(to)

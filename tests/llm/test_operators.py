@@ -226,6 +226,17 @@ def test_secrets_read_literals_of_any_length():
     assert secrets.scan("a_pwd='" * 20000) is not None
 
 
+def test_secrets_follow_names_with_digits_types_and_chains():
+    value = "x9Z8y7W6v5U4"
+    for text in (
+        f'K1 = "{value}"\ndb_pwd = K1', f'AWS_S3_DEFAULT = "{value}"\ndb_pwd = AWS_S3_DEFAULT', f'db_passphrase: str = "{value}"', f'db_passphrase: Optional[str] = "{value}"',
+        f'A = db_pwd = "{value}"', f'db_pwd = A = "{value}"', f'A=db_pwd="{value}"', f'K1: str = "{value}"\nA = db_pwd = K2\nK2 = K1', f'x: db_pwd: "{value}"',
+    ):
+        assert [text[a:b] for a, b, k in secrets.scan(text) if k == 3] == [value], text
+    for text in (f'x: str = "{value}"\ndb_pwd: str = "no"', f'K1 = "{value}"\ncolor = K1', "auth_token_url: https://example.com/path123", "db_pwd = pwd1\npwd1 = db_pwd"):
+        assert not [x for x in secrets.scan(text) if x[2] == 3], text
+
+
 def test_suffix_tree_base_scores_and_normalisation(docs, none):
     got = suffixtree.scored(docs).collect()
     out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
