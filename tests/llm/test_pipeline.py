@@ -24,3 +24,19 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert pieces.select("doc_id").distinct().count() == n
     total = pieces.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("d"))
     assert total.where("n <> d").count() == 0
+
+
+def test_near_copies_between_80_and_85_percent_are_dropped(spark):
+    data, want = [], set()
+    for i in range(0, 40, 2):
+        a = [f"n{i}x{j}" for j in range(300)]
+        b = list(a)
+        for c in range(i // 2 % 3 + 5):
+            b[20 + 35 * c] = f"changed{c}"
+        sets = [{tuple(w[j : j + 5]) for j in range(296)} for w in (a, b)]
+        same = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        want |= {i} | ({i + 1} if same < 0.8 else set())
+        data += [(i, " ".join(a)), (i + 1, " ".join(b))]
+    assert 20 < len(want) < 40
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(data, "doc_id long, text string"), SF)
+    assert {r.doc_id for r in out.collect()} == want
