@@ -1,14 +1,16 @@
 """Byte-level BPE of whole texts: ranked merges folded by Spark's higher-order functions over distinct words.
 
-Texts are split by the tokenizer's pattern.  The distinct words of a chunk of documents are asked for once, the
-distinct words of all chunks are encoded once, and each chunk's documents are put together from its own
-words, so no occurrence of a word is shuffled and no vocabulary is broadcast.
-
-A word is an array of hex bytes.  A fold over its length joins, each time, the leftmost neighbouring pair of the least rank;
-ranks come from a literal map, which is laid out as an array of short strings by hash because a map literal is
-searched from its start.  A word that is a rank itself is that token at once, as in the library.
+A task splits its texts by the tokenizer's pattern, once, into *chunks* of bounded size: the chunk's distinct words and, for each text,
+the places of its words among them.  Only these travel, compressed; no text does.  The words of all chunks are sorted together, the fold
+runs on the first of equal words, and every chunk gets the ids of its own words back, to put its documents together.  So a word is
+folded once however many chunks hold it, no occurrence is shuffled and no vocabulary is broadcast.
+
+A word is an array of ids, at first those of its bytes.  A fold over its length joins, each time, the leftmost neighbouring pair of the least rank.
+Ranks of pairs come from a literal map: for every way to cut a token into two tokens, (left, right) -> rank, laid out as one constant array by
+a perfect hash, because a map literal is searched from its start.  A word that is a rank itself is that token at once, as in the library.
 Pieces join to bytes again in decoding.  Words of more than ``LONG_WORD`` bytes, whose fold would take
 the square of their length, are merged with a heap where their document is put together; results are the same.
+Any other word that has no ids there is an error.
 
 Edge cases: a null or empty text has no tokens: 0, and the digests of the empty string.  Special tokens are ordinary text.  A null doc_id is
 kept.  Repeated rows are encoded one by one; extra columns are ignored; an empty table gives an empty result.
@@ -17,32 +19,92 @@ kept.  Repeated rows are encoded one by one; extra columns are ignored; an empty
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 32 << 20
-LONG_WORD = 128
-BUCKETS = 1 << 16
-HELD_WORDS = 400_000
+LONG_WORD = 512
+WHOLE_ROWS = 1 << 16
+#: A chunk ends with the text that takes it over either number.
+CHUNK_WORDS, CHUNK_PLACES = 500_000, 16_000_000
+#: Words that a task holds before it hands their ids on.
+HELD = 1 << 20
+BLOCK = 1 << 16
+#: Ranks are below 2**BITS; 2**BITS - 1 stands beyond a word's ends.
+BITS = 17
+EDGE = (1 << BITS) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    if max(ranks.values(), default=0) >= EDGE:
+        raise ValueError(f"ranks must be below {EDGE}")
+    return ranks
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """array<string> by crc32(hex) modulo BUCKETS, each ``|hex=rank|hex=rank|``, as a constant that Spark folds."""
-    rows = ["|"] * BUCKETS
+def _pairs(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
+    out = {}
+    for piece, rank in ranks.items():
+        for i in range(1, len(piece)):
+            a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
+            if a is not None and b is not None:
+                out[a, b] = rank
+    return out
+
+
+def _hash(a, b, salt: int, size: int):
+    """A number below size; works on numpy arrays, Python numbers and columns, and never leaves 63 bits."""
+    return (a * (2654435761 + 1000003 * salt) + b * (40503001 + 7919 * salt)) % size
+
+
+@functools.lru_cache(maxsize=4)
+def _perfect(path: str) -> tuple[list[int], list[int]]:
+    """(shift by bucket, slots): the pair (a, b) is in slot (_hash(a, b, 1) + shift[_hash(a, b, 0)]) % len(slots), as (a, b, rank) in one number."""
+    pairs = _pairs(read_ranks(path))
+    n = len(pairs)
+    size, buckets = (3 * n // 2) | 1, (n // 3) | 1
+    a, b = (np.array([k[i] for k in pairs], dtype=np.int64) for i in (0, 1))
+    bucket, home = _hash(a, b, 0, buckets), _hash(a, b, 1, size).tolist()
+    members: list[list[int]] = [[] for _ in range(buckets)]
+    for i, j in enumerate(bucket.tolist()):
+        members[j].append(i)
+    taken, shift = [-1] * size, [0] * buckets
+    for j in sorted(range(buckets), key=lambda x: -len(members[x])):
+        mine = members[j]
+        for s in range(size):
+            at = {(home[i] + s) % size for i in mine}
+            if len(at) == len(mine) and all(taken[x] < 0 for x in at):
+                break
+        else:
+            raise ValueError("two pairs share both hashes")
+        shift[j] = s
+        for i in mine:
+            taken[(home[i] + s) % size] = i
+    keys = [((x << BITS | y) << BITS) | r for (x, y), r in pairs.items()]
+    return shift, [keys[i] if i >= 0 else -1 for i in taken]
+
+
+def _numbers(values: list[int]) -> Column:
+    """array<long> that Spark folds to a constant."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+
+
+def whole_literal(ranks: dict[bytes, int]) -> Column:
+    """array<string> by crc32(hex) modulo WHOLE_ROWS, each ``|hex=rank|hex=rank|``, as a constant that Spark folds."""
+    rows = ["|"] * WHOLE_ROWS
     for piece, rank in ranks.items():
         h = piece.hex().upper()
-        rows[zlib.crc32(h.encode()) % BUCKETS] += f"{h}={rank}|"
+        rows[zlib.crc32(h.encode()) % WHOLE_ROWS] += f"{h}={rank}|"
     return F.split(F.lit(",".join(rows)), ",")
 
 
@@ -51,42 +113,52 @@ def _bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def encode_column(word: Column, table: Column) -> Column:
-    """The ranks of a binary word, as array<int>; the literal stands in the plan once and is bound to a variable."""
-    return _bind(table, lambda bound: _encode(word, bound))
+def encode_column(word: Column, path: str) -> Column:
+    """The ranks of a binary word, as array<long>; each literal stands in the plan once and is bound to a variable."""
+    shift, slots = _perfect(path)
+    ranks = read_ranks(path)
+    literals = F.struct(_numbers(shift).alias("shift"), _numbers(slots).alias("slots"), _numbers([ranks.get(bytes([i]), EDGE) for i in range(256)]).alias("bytes"), whole_literal(ranks).alias("whole"))
+    return _bind(literals, lambda t: _encode(word, t, len(shift), len(slots)))
 
 
-def _encode(word: Column, table: Column) -> Column:
+def _encode(word: Column, table: Column, buckets: int, size: int) -> Column:
+    none = 1 << BITS
 
-    def rank(piece: Column) -> Column:
-        row = F.element_at(table, (F.crc32(piece.cast("binary")) % BUCKETS + 1).cast("int"))
-        at = F.instr(row, F.concat(F.lit("|"), piece, F.lit("=")))
-        return F.when(at > 0, F.substring_index(F.substr(row, at + F.length(piece) + 2), "|", 1).cast("int"))
+    def rank(a: Column, b: Column) -> Column:
+        """The pair's rank, or something from 2**BITS on: what is in its slot less what it would be at rank 0."""
+        moved = _hash(a, b, 1, size) + F.get(table["shift"], _hash(a, b, 0, buckets).cast("int"))
+        return F.pmod(F.get(table["slots"], (moved % size).cast("int")) - (a * none + b) * none, F.lit(1 << 3 * BITS))
 
     def step(state: Column, _: Column) -> Column:
-        """p: pieces; r: ranks of neighbouring pairs; only those beside a merge are looked up again."""
+        """p: ids between two edges; r: ranks of neighbouring pairs; only those beside a merge are looked up again."""
         p, r = state["p"], state["r"]
 
-        def joined(at: Column) -> Column:
-            def put(m: Column) -> Column:
-                left = F.when(at > 1, F.array(rank(F.concat(F.element_at(p, at - 1), m)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(at + 1 < F.size(p), F.array(rank(F.concat(m, F.element_at(p, at + 2))))).otherwise(F.array().cast("array<int>"))
-                new_p = F.concat(F.slice(p, F.lit(1), at - 1), F.array(m), F.slice(p, at + 2, F.size(p)))
-                new_r = F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(p)))
-                return F.struct(new_p.alias("p"), new_r.alias("r"))
+        def merged(least: Column) -> Column:
+            def put(at: Column) -> Column:
+                rest = F.size(p)
+                sides = F.array(rank(F.element_at(p, at - 1), least), rank(least, F.element_at(p, at + 2)))
+                return F.struct(
+                    F.concat(F.slice(p, F.lit(1), at - 1), F.array(least), F.slice(p, at + 2, rest)).alias("p"),
+                    F.concat(F.slice(r, F.lit(1), at - 2), sides, F.slice(r, at + 2, rest)).alias("r"),
+                )
+
+            return F.when(least >= none, state).otherwise(_bind(F.array_position(r, least).cast("int"), put))
 
-            return _bind(F.concat(F.element_at(p, at), F.element_at(p, at + 1)), put)
+        return _bind(F.array_min(r), merged)
 
-        least = F.array_min(r)
-        return F.when(least.isNull(), state).otherwise(_bind(F.array_position(r, least).cast("int"), joined))
+    def fold(p: Column) -> Column:
+        n = F.size(p)
+        pairs = F.zip_with(F.slice(p, F.lit(1), n - 1), F.slice(p, F.lit(2), n), rank)
+        done = F.aggregate(F.sequence(F.lit(4), F.greatest(n, F.lit(4))), F.struct(p.alias("p"), pairs.alias("r")), step)["p"]
+        return F.slice(done, F.lit(2), F.size(done) - 2)
 
+    edge = F.array(F.lit(EDGE).cast("long"))
+    ids = F.transform(F.split(F.decode(word, "ISO-8859-1"), F.lit("")), lambda c: F.get(table["bytes"], F.ascii(c)))
     text = F.hex(word)
-    n = F.octet_length(word)
-    single = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(text, 2 * i + 1, F.lit(2)))
-    pairs = F.zip_with(F.slice(single, F.lit(1), n - 1), F.slice(single, F.lit(2), n), lambda a, b: F.when(b.isNotNull(), rank(F.concat(a, b))))
-    start = F.struct(single.alias("p"), pairs.alias("r"))
-    folded = F.aggregate(F.sequence(F.lit(1), n), start, step)["p"]
-    return _bind(rank(text), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(folded, rank)))
+    row = F.get(table["whole"], (F.crc32(text.cast("binary")) % WHOLE_ROWS).cast("int"))
+    mark = F.concat(F.lit("|"), text, F.lit("="))
+    at = F.substring_index(F.call_function("substring_index", row, mark, F.lit(-1)), "|", 1).cast("long")
+    return F.when(F.contains(row, mark), F.array(at)).otherwise(_bind(F.concat(edge, ids, edge), fold))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -113,66 +185,179 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def encoded(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    ranks = read_ranks(rank_path)
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-total // CHUNK_BYTES))
-    text = F.coalesce("text", F.lit(""))
-    dealt = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk")).repartition("chunk")
+def _joined(words: list[bytes]) -> bytes:
+    """Words with their lengths, in one compressed string."""
+    import zstandard
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
+    sizes = np.array([len(words), *map(len, words)], dtype="<u4")
+    return zstandard.ZstdCompressor(level=3).compress(sizes.tobytes() + b"".join(words))
+
+
+def _parted(packed: bytes) -> tuple[bytes, np.ndarray]:
+    """The words' bytes, and each word's first (one more entry than words)."""
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    return raw[4 * n + 4 :], np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<u4", n, 4).astype(np.int64))])
+
+
+CHUNKS = "chunk long, doc_id array<long>, n_words array<long>, places binary, words binary"
 
-        find = regex.compile(pattern).findall
-        found: dict[int, set[str]] = {}
 
-        def out(c: int) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([c] * len(found[c]), pa.int32()), pa.array(list(found.pop(c)), pa.string())], ["chunk", "word"])
+def _split(pattern: str):
+    """(doc_id, text) to chunks: documents, the compressed places of their words, and the compressed distinct words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+        import zstandard
+
+        find = regex.compile(pattern).finditer
+        part, made = TaskContext.get().partitionId(), 0
+        known: dict[str, int] = {}
+        docs: list[int | None] = []
+        sizes: list[int] = []
+        places: list[np.ndarray] = []
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            packed = _joined([w.encode() for w in known])
+            flat = np.concatenate([np.zeros(0, "<u4"), *places])
+            row = zstandard.ZstdCompressor(level=3).compress(flat.tobytes())
+            # what a chunk holds is part of its name: one that a lost task deals otherwise meets no answers, which is an error
+            seal = hashlib.sha256(b"%d %d " % (part, made) + packed + row).digest()
+            chunk = int.from_bytes(seal[:8], "little", signed=True)
+            cols = [pa.array([chunk], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([row], pa.binary()), pa.array([packed], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, ["chunk", "doc_id", "n_words", "places", "words"])
 
         for batch in batches:
-            for t, c in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                mine = found.setdefault(c, set())
-                mine.update(find(t.as_py()))
-                if len(mine) > HELD_WORDS:
-                    yield out(c)
-        for c in list(found):
-            yield out(c)
-
-    # both uses of ``dealt`` read all its columns, so that Spark shuffles it once and reuses the exchange
-    wanted = dealt.mapInArrow(asked, "chunk int, word string").distinct().where(F.octet_length("word") <= LONG_WORD)
-    table = rank_literal(ranks)
-    known = wanted.select("word").distinct().select("word", encode_column(F.col("word").cast("binary"), table).alias("ids"))
-    answers = wanted.join(known, "word").select("chunk", "word", "ids")
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found, n = find(text.as_py() or ""), 0
+                while block := [known.setdefault(m.group(), len(known)) for m in islice(found, BLOCK)]:
+                    places.append(np.array(block, dtype="<u4"))
+                    n += len(block)
+                docs.append(doc)
+                sizes.append(n)
+                held += n
+                if len(known) > CHUNK_WORDS or held > CHUNK_PLACES:
+                    yield out()
+                    known, docs, sizes, places, held, made = {}, [], [], [], 0, made + 1
+        if docs:
+            yield out()
+
+    return run
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, place, word) of the words that are to be folded."""
+    for batch in batches:
+        for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            raw, first = _parted(packed.as_py())
+            place = np.flatnonzero(np.diff(first) <= LONG_WORD)
+            for lo in range(0, len(place), BLOCK):
+                some = place[lo : lo + BLOCK]
+                word = [raw[a:b] for a, b in zip(first[some].tolist(), first[some + 1].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunk)), pa.array(some.astype(np.int32)), pa.array(word, pa.binary())], ["chunk", "place", "word"])
+
+
+def _handed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, place, ids), in which a row without ids has the last ones before it, to one compressed row for each chunk."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3)
+    last = np.zeros(0, "<u4")
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def out() -> pa.RecordBatch:
+        chunk, place, size, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
+        begin = np.cumsum(size) - size
+        order = np.argsort(chunk, kind="stable")
+        edge = np.flatnonzero(np.concatenate([[True], chunk[order][1:] != chunk[order][:-1], [True]]))
+        rows = []
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            mine = order[lo:hi]
+            n = size[mine]
+            ids = flat[np.repeat(begin[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            rows.append(press.compress(np.concatenate([[len(mine)], place[mine], n, ids]).astype("<u4").tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(chunk[order][edge[:-1]]), pa.array(rows, pa.binary())], ["chunk", "answers"])
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        lists = batch.column(2)
+        values, many = lists.flatten().to_numpy().astype("<u4"), np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+        values = np.concatenate([last, values])
+        start = np.cumsum(many) - many + len(last)
+        own = np.asarray(lists.is_valid())
+        owner = np.maximum.accumulate(np.where(own, np.arange(len(own)), -1))
+        begin, size = np.where(owner >= 0, start[owner], 0), np.where(owner >= 0, many[owner], len(last))
+        flat = values[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        last = flat[len(flat) - size[-1] :]
+        parts.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), size, flat))
+        held += len(batch)
+        if held > HELD:
+            yield out()
+            parts, held = [], 0
+    if parts:
+        yield out()
+
+
+def _assembled(shared):
+    """A chunk's documents from its places and the ids of its words."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        import regex
+        import zstandard
+
+        ranks, pieces = shared.value
+        plain = zstandard.ZstdDecompressor()
+        raw, first = _parted(left.column("words")[0].as_py())
+        n = len(first) - 1
+        written: list[str | None] = [None] * n
+        size = np.zeros(n, dtype=np.int64)
+        decoded: list[bytes] = [b""] * n
+
+        def put(place: int, ids: list[int]) -> None:
+            written[place], size[place] = " ".join(map(str, ids)), len(ids)
+            decoded[place] = b"".join([pieces[i] for i in ids])
+
+        for packed in right.column("answers"):
+            got = np.frombuffer(plain.decompress(packed.as_py()), "<u4")
+            m = int(got[0])
+            at, ids = 0, got[2 * m + 1 :].tolist()
+            for place, many in zip(got[1 : m + 1].tolist(), got[m + 1 : 2 * m + 1].tolist(), strict=True):
+                put(place, ids[at : at + many])
+                at += many
+        for place in np.flatnonzero(np.diff(first) > LONG_WORD).tolist():
+            put(place, merge_long(raw[first[place] : first[place + 1]], ranks))
+        if None in written:
+            raise ValueError("a chunk has words without ids: its rows were dealt differently when it was worked out again")
+        places = np.frombuffer(plain.decompress(left.column("places")[0].as_py()), "<u4")
+        docs, sizes = left.column("doc_id")[0].as_py(), left.column("n_words")[0].as_py()
+        cols: list[list] = [[], [], []]
+        at = 0
+        for many in sizes:
+            a, b = hashlib.sha256(), hashlib.sha256()
+            for lo in range(at, at + many, BLOCK):
+                some = places[lo : min(lo + BLOCK, at + many)].tolist()
+                a.update(((" " if lo > at else "") + " ".join([written[i] for i in some])).encode())
+                b.update(b"".join([decoded[i] for i in some]))
+            cols[0].append(int(size[places[at : at + many]].sum()))
+            cols[1].append(a.hexdigest())
+            cols[2].append(b.hexdigest())
+            at += many
+        return pa.table({"doc_id": pa.array(docs, pa.int64()), "n_tokens": pa.array(cols[0], pa.int64()), "ids_sha256": pa.array(cols[1], pa.string()), "decoded_sha256": pa.array(cols[2], pa.string())})
 
-        ranks_ = shared.value
-        pieces = {i: p for p, i in ranks_.items()}
-        find = regex.compile(pattern).findall
-        words = right.column("word").to_pylist()
-        lists = right.column("ids").combine_chunks()
-        flat, size = lists.flatten().to_pylist(), lists.value_lengths().to_pylist()
-        known_: dict[str, tuple[int, str, bytes]] = {}
+    return run
 
-        def entry(ids: list[int]) -> tuple[int, str, bytes]:
-            return len(ids), " ".join(map(str, ids)), b"".join([pieces[i] for i in ids])
 
-        at = 0
-        for w, n in zip(words, size, strict=True):
-            known_[w] = entry(flat[at : at + n])
-            at += n
-        cols: list[list] = [[], [], []]
-        for t in left.column("text"):
-            got = []
-            for w in find(t.as_py()):
-                e = known_.get(w)
-                got.append(e if e is not None else entry(merge_long(w.encode(), ranks_)))
-            cols[0].append(sum(e[0] for e in got))
-            cols[1].append(hashlib.sha256(" ".join([e[1] for e in got]).encode()).hexdigest())
-            cols[2].append(hashlib.sha256(b"".join([e[2] for e in got])).hexdigest())
-        return pa.table({"doc_id": left.column("doc_id"), "n_tokens": pa.array(cols[0], pa.int64()), "ids_sha256": pa.array(cols[1], pa.string()), "decoded_sha256": pa.array(cols[2], pa.string())})
-
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def encoded(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
+    ranks = read_ranks(rank_path)
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, {i: p for p, i in ranks.items()}))
+    chunks = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_split(pattern), CHUNKS).repartition("chunk")
+    asked = chunks.select("chunk", "words").mapInArrow(_asked, "chunk long, place int, word binary")
+    nth = F.row_number().over(Window.partitionBy("word").orderBy("chunk"))
+    folded = asked.withColumn("nth", nth).select("chunk", "place", F.when(F.col("nth") == 1, encode_column(F.col("word"), rank_path)).alias("ids"))
+    answers = folded.mapInArrow(_handed, "chunk long, answers binary")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_assembled(shared), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
