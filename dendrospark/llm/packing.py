@@ -15,7 +15,7 @@ Targets: a share by source; by default each source's share of all tokens, so tha
 queues run out together.  A source without target gets its natural share.  With given targets a queue that runs out
 leaves its part of later windows to the others.
 
-Edge cases: a null or blank text has no ids and is just its end token.  Null sources are one queue.
+Edge cases: a null or blank text has no ids and is just its end token.  The strings of special tokens in a text get their ids.  Null sources are one queue.
 Rows are packed one by one whatever their doc_id, repeated or null.  No rows: no pieces.  Extra columns are ignored.
 """
 
@@ -39,11 +39,15 @@ END_ID = 2
 CACHED_WORDS = 3_000_000
 
 
-def _plain_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, Words]:
+def _plain_words(buf: np.ndarray, offs: np.ndarray, special: list[tuple[int, int]]) -> tuple[np.ndarray, Words]:
     """Words cut down to fewer distinct ones with the same ids: ASCII words in lower case, as the tokenizer has no other, and
-    a full stop or comma after an ASCII letter as a word of its own, as the tokenizer's pattern splits there."""
+    a full stop or comma after an ASCII letter as a word of its own, as the tokenizer's pattern splits there.
+    A word that may hold a special token, whose first two bytes are in ``special``, stays as it is."""
     w = words(buf, offs, lower=False, hashed=False)
-    wide = np.concatenate([[0], np.cumsum(buf >= 128)])
+    as_is = buf >= 128
+    for one, two in special:
+        as_is[:-1] |= (buf[:-1] == one) & (buf[1:] == two)
+    wide = np.concatenate([[0], np.cumsum(as_is)])
     ascii_ = wide[w.end] == wide[w.start]
     fold = np.zeros(len(buf) + 1, dtype=np.int8)
     fold[w.start[ascii_]] += 1
@@ -51,7 +55,7 @@ def _plain_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, Words]:
     upper = (np.cumsum(fold)[:-1] > 0) & (buf >= 65) & (buf <= 90)
     buf = np.where(upper, buf + 32, buf).astype(np.uint8)
     last, before = buf[w.end - 1], buf[np.maximum(w.end - 2, 0)] | 32
-    split = ((last == 46) | (last == 44)) & (w.end - w.start > 1) & (before >= 97) & (before <= 122)
+    split = ((last == 46) | (last == 44)) & (w.end - w.start > 1) & (before >= 97) & (before <= 122) & ascii_
     at = np.flatnonzero(split)
     start = np.insert(w.start, at + 1, w.end[at] - 1)
     end = np.insert(np.where(split, w.end - 1, w.end), at + 1, w.end[at])
@@ -71,7 +75,11 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        # special tokens in a text get their own ids, as the library's call gives them
+        added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        if any(len(t) < 2 or any(b in b" \t\n\x0b\x0c\r" for b in t) for t in added):
+            raise ValueError("a special token of one byte or with white space can't be found word by word")
+        self.special = sorted({(t[0], t[1]) for t in added})
         self.forget()
 
     def forget(self) -> None:
@@ -92,7 +100,7 @@ class WordTokens:
 
     def encode(self, buf: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each row's followed by end_id, and each row's first."""
-        buf, w = _plain_words(buf, offs)
+        buf, w = _plain_words(buf, offs, self.special)
         uniq, some, which = np.unique(w.hash, return_index=True, return_inverse=True)
         if len(self.keys) + len(uniq) > CACHED_WORDS:
             self.forget()
