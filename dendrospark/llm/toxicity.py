@@ -6,8 +6,9 @@ softmax outputs follow.  Vectors and softmax weights are trained together in num
 An unseen spelling shares n-gram vectors with those seen.
 
 The classifier is fitted on a bounded sample of the labelled training rows: per class at most
-``per_class`` documents and ``sample_bytes`` bytes of text, first by a hash of their text.  Class weights
-undo that the sample is balanced only as far as ``prior`` says.  Scoring covers every whole text: as everything after
+``per_class`` documents and ``sample_bytes`` bytes of text, first by a hash of their text.  The sample is chosen by joins, brought to
+one task and fitted there, so its memory is bounded by these parameters and none of it is the driver's, which gets a number for each
+bucket.  The fit is the same when a lost task runs again.  Class weights undo that the sample is balanced only as far as ``positive_weight`` says.  Scoring covers every whole text: as everything after
 the vectors is linear, a word counts by one number, worked out once for each distinct word of a slice.
 
 Edge cases: null, empty and blank texts get the score of the bias alone.  Labels other than 0 and 1, and null ones,
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import cut, drop
@@ -70,9 +71,22 @@ def subwords(buf: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int)
     return (flat[order] % np.uint64(buckets)).astype(np.int64), np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))])
 
 
-def bags(texts: pa.Array, buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
+@dataclass
+class Bags:
+    """Texts as rows of a sparse matrix: bucket ids, their weights, and each text's first."""
+
+    ids: np.ndarray
+    coef: np.ndarray
+    first: np.ndarray
+
+    def rows(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        many = self.first[pick + 1] - self.first[pick]
+        at = _ranges(self.first[pick], many)
+        return self.ids[at], self.coef[at], np.repeat(np.arange(len(pick)), many)
+
+
+def _weighted(texts: pa.Array, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For every text its buckets and their weights in the mean over words of the mean over subwords."""
-    out = []
     for lo, hi, buf, offs in slices(texts):
         w = words(buf, offs)
         _, some, which = np.unique(w.hash, return_index=True, return_inverse=True)
@@ -80,30 +94,40 @@ def bags(texts: pa.Array, buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
         many = np.diff(first)
         for r in range(hi - lo):
             mine, n = np.unique(which[w.first[r] : w.first[r + 1]], return_counts=True)
-            ids = grams[_ranges(first[mine], many[mine])]
             coef = np.repeat(n / many[mine] / max(1, n.sum()), many[mine])
-            uniq, inv = np.unique(ids, return_inverse=True)
-            out.append((uniq.astype(np.int32), np.bincount(inv, weights=coef, minlength=len(uniq)).astype(np.float32)))
-    return out
+            uniq, inv = np.unique(grams[_ranges(first[mine], many[mine])], return_inverse=True)
+            yield uniq.astype(np.int32), np.bincount(inv, weights=coef, minlength=len(uniq)).astype(np.float32)
 
 
-def train(docs: list[tuple[np.ndarray, np.ndarray]], marks: np.ndarray, weights: np.ndarray, buckets: int = BUCKETS, dim: int = 8, epochs: int = 12, rate: float = 1.0, least_df: int = 3, batch: int = 16, seed: int = 7) -> Model:
-    """Adagrad. Buckets that fewer than least_df texts use stay at zero, so single texts can't be learnt by heart."""
+def bags(texts: pa.Array, buckets: int, least_df: int = 3) -> Bags:
+    """The texts' bags without the buckets that fewer than least_df texts use; worked out twice, so that those are never held."""
+    df = np.zeros(buckets, np.int32)
+    for ids, _ in _weighted(texts, buckets):
+        df[ids] += 1
+    kept, size = [], [0]
+    for ids, coef in _weighted(texts, buckets):
+        keep = df[ids] >= least_df
+        kept.append((ids[keep], coef[keep]))
+        size.append(len(kept[-1][0]))
+    none = (np.zeros(0, np.int32), np.zeros(0, np.float32))
+    ids, coef = (np.concatenate(x) for x in zip(none, *kept, strict=True))
+    return Bags(ids, coef, np.cumsum(size))
+
+
+def train(docs: Bags, marks: np.ndarray, weights: np.ndarray, buckets: int = BUCKETS, dim: int = 8, epochs: int = 12, rate: float = 1.0, batch: int = 16, seed: int = 7) -> Model:
+    """Adagrad. Buckets that no bag has stay at zero."""
     rng = np.random.default_rng(seed)
     model = Model(rng.normal(0, 0.1, (buckets, dim)).astype(np.float32), rng.normal(0, 0.3, (dim, 2)).astype(np.float32), np.zeros(2, np.float32))
-    df = np.zeros(buckets, np.int64)
-    for ids, _ in docs:
-        df[ids] += 1
-    model.emb[df < least_df] = 0
-    docs = [(ids[k], c[k]) for ids, c in docs for k in [df[ids] >= least_df]]
+    model.emb[np.bincount(docs.ids, minlength=buckets) == 0] = 0
     g_emb, g_out, g_bias = np.full(buckets, 1e-6, np.float32), np.full((dim, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
     for _ in range(epochs):
-        order = rng.permutation(len(docs))
+        order = rng.permutation(len(marks))
         for lo in range(0, len(order), batch):
             pick = order[lo : lo + batch]
-            rows, col = np.unique(np.concatenate([docs[i][0] for i in pick]), return_inverse=True)
+            ids, coef, row = docs.rows(pick)
+            rows, col = np.unique(ids, return_inverse=True)
             dense = np.zeros((len(pick), len(rows)), np.float32)
-            dense[np.repeat(np.arange(len(pick)), [len(docs[i][0]) for i in pick]), col] = np.concatenate([docs[i][1] for i in pick])
+            dense[row, col] = coef
             vec = model.emb[rows]
             x = dense @ vec
             z = x @ model.out + model.bias
@@ -125,34 +149,45 @@ def held_out(folds: int = 5):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = 2500, sample_bytes: int = 12 << 20, positive_weight: float = 2.0) -> tuple[Model | None, float]:
-    """The model, or None where a class has no labelled row, and the share of label 1 among labelled training rows."""
+def _sample(docs: DataFrame, labels: DataFrame, folds: int, per_class: int, sample_bytes: int) -> tuple[DataFrame, dict[int, int]]:
+    """(mark, order, doc_id, text) of the chosen texts, at most per_class and sample_bytes a class, and the labelled rows by class."""
     marks = labels.select("doc_id", "toxic").where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("mark"), F.max("toxic").alias("other")).where("mark = other")
     train_docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).where(~held_out(folds))
     # sizes and hashes are joined with the labels; only the chosen texts, few by the parameters, are fetched
     narrow = train_docs.select("doc_id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("order"))
-    marked = cut(narrow.join(marks.select("doc_id", "mark").hint("merge"), "doc_id").where(F.col("size") <= sample_bytes), "toxic-marks")
+    marked = cut(narrow.join(marks.select("doc_id", F.col("mark").cast("int")).hint("merge"), "doc_id").where(F.col("size") <= sample_bytes), "toxic-marks")
     sizes = {r["mark"]: r["count"] for r in marked.groupBy("mark").count().collect()}
+    first = [marked.where(F.col("mark") == kind).orderBy("order", "doc_id").limit(per_class) for kind in (0, 1)]
+    room = F.sum("size").over(Window.partitionBy("mark").orderBy("order", "doc_id"))
+    few = cut(first[0].union(first[1]).withColumn("room", room).where(F.col("room") <= sample_bytes).select("doc_id", "order", "mark").distinct(), "toxic-few")
+    drop(marked)
+    chosen = train_docs.withColumn("order", F.xxhash64("text")).join(F.broadcast(few), ["doc_id", "order"])
+    return chosen.select("mark", "order", "doc_id", "text").dropDuplicates(["doc_id", "order"]), sizes
+
+
+def _fitted(share: float, positive_weight: float):
+    """One row (unit, bias) from all rows (mark, order, doc_id, text) of the one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).sort_by([("mark", "ascending"), ("order", "ascending"), ("doc_id", "ascending")])
+        marks = rows.column("mark").to_numpy().astype(np.int64)
+        # the sample's odds against the odds of all labelled rows
+        n1, n0 = int((marks == 1).sum()), int((marks == 0).sum())
+        weight = np.where(marks == 1, positive_weight * share / max(n1, 1), (1 - share) / max(n0, 1)) * len(marks)
+        model = train(bags(rows.column("text").combine_chunks(), BUCKETS), marks, weight)
+        yield pa.RecordBatch.from_arrays([pa.array([model.unit().astype("<f8").tobytes()], pa.binary()), pa.array([float(model.bias[1] - model.bias[0])])], ["unit", "bias"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = 2500, sample_bytes: int = 12 << 20, positive_weight: float = 2.0) -> tuple[np.ndarray | None, float, float]:
+    """What each bucket adds to the difference of the two outputs (None where a class has no labelled row), its bias, and the share of label 1 among labelled training rows."""
+    chosen, sizes = _sample(docs, labels, folds, per_class, sample_bytes)
     if len(sizes) < 2:
-        return None, float(sizes.get(1, 0) > 0)
+        return None, 0.0, float(sizes.get(1, 0) > 0)
     share = sizes[1] / sum(sizes.values())
-    chosen = []
-    for kind in (0, 1):
-        room = sample_bytes
-        for r in marked.where(F.col("mark") == kind).orderBy("order", "doc_id").limit(per_class).collect():
-            room -= r["size"]
-            if room < 0:
-                break
-            chosen.append((r["doc_id"], r["order"], int(kind)))
-    few = docs.sparkSession.createDataFrame(chosen, "doc_id long, order long, mark int").distinct()
-    got = train_docs.withColumn("order", F.xxhash64("text")).join(F.broadcast(few), ["doc_id", "order"]).select("doc_id", "order", "mark", "text").dropDuplicates(["doc_id", "order"]).toPandas().sort_values(["mark", "order", "doc_id"])
-    texts, kinds = got["text"].tolist(), got["mark"].tolist()
-    drop(marked)
-    marks_ = np.array(kinds)
-    # the sample's odds against the odds of all labelled rows
-    n1, n0 = int((marks_ == 1).sum()), int((marks_ == 0).sum())
-    weight = np.where(marks_ == 1, positive_weight * share / max(n1, 1), (1 - share) / max(n0, 1)) * len(marks_)
-    return train(bags(pa.array(texts, pa.string()), BUCKETS), marks_, weight), share
+    unit, bias = chosen.repartition(1).mapInArrow(_fitted(share, positive_weight), "unit binary, bias double").first()
+    return np.frombuffer(unit, "<f8"), bias, share
 
 
 def _scores(column: pa.Array, unit: np.ndarray | None, bias: float, share: float) -> np.ndarray:
@@ -172,10 +207,7 @@ def _scores(column: pa.Array, unit: np.ndarray | None, bias: float, share: float
 
 
 def _shared(docs: DataFrame, labels: DataFrame, folds: int, params: dict):
-    model, share = fit(docs, labels, folds, **params)
-    unit = model.unit().astype(np.float64) if model else None
-    bias = float(model.bias[1] - model.bias[0]) if model else 0.0
-    return docs.sparkSession.sparkContext.broadcast((unit, bias, share))
+    return docs.sparkSession.sparkContext.broadcast(fit(docs, labels, folds, **params))
 
 
 def scored(docs: DataFrame, labels: DataFrame, folds: int = 5, **params) -> DataFrame:
