@@ -5,7 +5,8 @@ kind ``lexed``: it reads name-literal pairs (``name = "x"``, ``name: x``, ``"nam
 ``name="x"``), splits names at case changes and punctuation, and scores each literal by the
 sensitive words among the parts of its names and by how random its characters are.  Constants propagate: with ``K = "x"`` and
 ``db_password = K`` the literal x is also judged by the second name, through any
-chain of names that the text assigns and plain names without digits.  The names of ``a: type = b = "x"`` all name x.  A literal counts when its score reaches ``LEAST_SCORE`` and it doesn't overlap a base span.
+chain of names that the text assigns and plain names without digits.  In strings between three quotes, which may have several lines, every
+piece between white space is a literal.  The names of ``a: type = b = "x"`` all name x.  A literal counts when its score reaches ``LEAST_SCORE`` and it doesn't overlap a base span.
 
 Spans are code points, end exclusive.
 
@@ -39,11 +40,14 @@ SENSITIVE = {
     "auth": 1, "key": 1, "private": 1, "access": 1, "api": 1, "signing": 1, "bearer": 2, "salt": 1, "cookie": 1, "session": 1,
 }
 LEAST_SCORE = 4.0
-# The syntax that the lexer reads. Values have no greatest length; their repeats are possessive, so they stay linear.
-HEAD = re.compile(r"""(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,79})["'\]]{0,2}(?P<space>[\x20\t]*)(?P<sep>:=|=>|=|:)[\x20\t]*""")
+# The syntax that the lexer reads. Names and values have no greatest length; their repeats are possessive and a name begins
+# where its run of characters does, so they stay linear.
+HEAD = re.compile(r"""(?<![A-Za-z0-9_.\-])[0-9.\-]*+(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)["'\]]{0,2}(?P<space>[\x20\t]*+)(?P<sep>:=|=>|=|:)[\x20\t]*+""")
 TYPED = re.compile(r"""(?P<type>[A-Za-z_][A-Za-z0-9_.]*+)(?:\[[^\n:="']*\])?(?:[\x20\t]*\|[\x20\t]*[A-Za-z0-9_.]++)*+[\x20\t]*=[\x20\t]*(?![=>])""")
 QUOTED = re.compile(r"""(?P<quote>["'])(?P<text>(?:\\.|(?!(?P=quote))[^\\\n])++)(?P=quote)""")
+TRIPLE = re.compile(r"""\"{3}|'{3}""")
 BARE = re.compile(r"[A-Za-z0-9_+/.=\-]++")
+SOLID = re.compile(r"\S+")
 _PLAIN = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -83,7 +87,11 @@ def _read(text: str) -> tuple[list[tuple[int, int, bool, list[str]]], set[str]]:
             if not following or following["sep"] == ":" or text.startswith("=", following.end()) or not (following["space"] or text[following.end() : following.end() + 1] in ('"', "'")):
                 break
             m = following
-        if q := QUOTED.match(text, at):
+        if (q := TRIPLE.match(text, at)) and (stop := text.find(q[0], q.end(), None)) > q.end():
+            # each piece between white space of a string over several lines is a literal of its own
+            values += [(q.end() + x.start(), q.end() + x.end(), True, names) for x in SOLID.finditer(text[q.end() : stop])]
+            at = stop + 3
+        elif q := QUOTED.match(text, at):
             values.append((*q.span("text"), True, names))
             at = q.end()
         elif q := BARE.match(text, at):
