@@ -3,13 +3,14 @@
 A query is a bag of terms, one for each dimension where it isn't zero; a term's postings are the vectors of a
 shard with their component there.  A term adds query * component, at least and at most what the shard's smallest
 and largest component allow, so contributions above the least one are not negative and
-bounds add up.  Terms are ordered by the width of their bounds.  Essential postings are traversed for all vectors of a block;
+bounds add up.  Terms are ordered by the width of their bounds.  Each query's essential terms, rounded up to ``STEP`` terms, are traversed for all vectors of a block;
 the narrow terms whose widths together can't lift a vector over the query's current k-th score are
 non-essential and probed only for vectors that are still competitive.  The k-th score rises from block to block; a
 shard's best are merged with other shards' by rank.
 
 Vectors and queries are dealt into shards of bounded size by a hash, and every query shard meets every vector shard
-once: the stated query set against all rows, in blocks.  Scores are integer: components become floor(scale * x).
+once: the stated query set against all rows, in blocks.  A query shard is the larger one, as a vector is repeated for each of them; within a task queries go in turns of
+``TURN``.  Scores are integer: components become floor(scale * x).
 
 Edge cases: vectors that are null or hold a null or non-finite component take no part, neither do rows with a null vec_id.  Vectors of different
 length score over the dimensions they share.  Rows with the query's vec_id are its own.  Equal scores: the smaller
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 
 SHARD_ROWS = 8192
 BLOCK = 1024
-QUERY_ROWS = 512
+QUERY_ROWS = 16384
+TURN = 512
+STEP = 4
 LONG = (1 << 63) - 1
 
 
@@ -47,18 +50,22 @@ def max_score(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np
     for lo in range(0, len(v), BLOCK):
         block, bid = v[lo : lo + BLOCK], ids[lo : lo + BLOCK]
         need = best_s[:, -1]
-        # essential: the fewest leading terms without which no vector can reach the k-th score
+        # essential: a query's fewest leading terms without which no vector can reach its k-th score
         lift = rest + floor[:, :1]
         essential = np.where(np.isfinite(need), (lift >= need[:, None]).sum(axis=1), dims)
-        split = int(min(dims, max(1, np.median(essential)))) if np.isfinite(need).all() else dims
-        score = q[:, :split] @ block[:, :split].T
-        if split < dims:
-            open_ = score + floor[:, split : split + 1] + rest[:, split : split + 1] >= need[:, None]
-            qi, vi = np.nonzero(open_ & (own[:, None] != bid[None, :]))
-            exact = score[qi, vi] + np.einsum("ij,ij->i", q[qi, split:], block[vi, split:])
-        else:
-            qi, vi = np.nonzero((score >= need[:, None]) & (own[:, None] != bid[None, :]))
-            exact = score[qi, vi]
+        essential = np.clip(-(-essential // STEP) * STEP, min(STEP, dims), dims)
+        found = []
+        for split in np.unique(essential).tolist():
+            mine = np.flatnonzero(essential == split)
+            score = q[mine, :split] @ block[:, :split].T
+            open_ = score + (floor[mine, split] + rest[mine, split])[:, None] >= need[mine, None]
+            at, vi = np.nonzero(open_ & (own[mine, None] != bid[None, :]))
+            qi = mine[at]
+            exact = score[at, vi]
+            if split < dims:
+                exact = exact + np.einsum("ij,ij->i", q[qi, split:], block[vi, split:])
+            found.append((qi, vi, exact))
+        qi, vi, exact = (np.concatenate(x) for x in zip(*found, strict=True))
         if not len(qi):
             continue
         s = np.concatenate([best_s.ravel(), exact])
@@ -96,8 +103,8 @@ def _best(k: int, scale: float):
         if not len(v) or not len(q):
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         if np.abs(m).max(initial=0) ** 2 * max(1, m.shape[1]) < 2**53:
-            qi, vi, s = max_score(q, qid, v, vid, k)
-            s = s.astype(np.int64)
+            turns = [(lo, *max_score(q[lo : lo + TURN], qid[lo : lo + TURN], v, vid, k)) for lo in range(0, len(q), TURN)]
+            qi, vi, s = np.concatenate([lo + x for lo, x, *_ in turns]), np.concatenate([x for *_, x, _ in turns]), np.concatenate([x for *_, x in turns]).astype(np.int64)
         else:
             big_v, big_q = ([[int(x) for x in r] for r in x] for x in (v.tolist(), q.tolist()))
             got = []
