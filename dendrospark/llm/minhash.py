@@ -10,7 +10,8 @@ probability 3e-7.  Candidates are confirmed on the full sets.
 
 Hot groups: texts with equal sets are one class before anything is compared.  Each bucket compares
 its members with one pivot, its least class; what the pivots leave open goes through an exact
-prefix-filter join (see ``_settle``), so no link is lost and no bucket is capped.
+prefix-filter join (see ``_settle``), so no link is lost and no bucket is capped.  Joins by bucket and by pivot deal the rows of a hot one
+into parts (see ``skew``).
 
 Edge cases: null or blank texts have empty sets, n_shingles 0, and link with nothing.  A null doc_id
 takes part in nothing: component null, kept true.  Rows that share a doc_id count as one document,
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
+from .skew import hot, spread
 from .store import cut, drop
 from .textkit import distinct_sets, list_array, mix, shingles, slices, words
 
@@ -106,13 +108,14 @@ def _full_sets(k: int):
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs(a, b) with the size of the intersection and union of their full sets, and whether they link."""
     with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("sa")), "a")
-    with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("items").alias("sb")), "b")
+    many = hot(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), ["b"])
+    with_b = spread(with_a, sets.select(F.col("node").alias("b"), F.col("items").alias("sb")), ["b"], many, by=["a"])
     met = with_b.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("total"))
     met = met.select("a", "b", "common", (F.col("total") - F.col("common")).alias("joint"))
     return met.withColumn("linked", F.lit(100) * F.col("common") >= F.lit(percent) * F.col("joint"))
 
 
-def _settle(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _settle(members: DataFrame, many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of the buckets members(key, node) that give the components of all links.
 
     First every bucket's least node, its pivot, is compared with each other member, which links nearly all of a
@@ -122,8 +125,10 @@ def _settle(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     meet.
     """
     hubs = members.groupBy("key").agg(F.min("node").alias("pivot"))
-    placed = cut(members.join(hubs, "key").where("node <> pivot"), "mh-placed")
-    seen = cut(_verified(placed.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets, percent), "mh-seen")
+    placed = cut(spread(members, hubs, ["key"], many).where("node <> pivot"), "mh-placed")
+    pairs = cut(placed.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "mh-pairs")
+    seen = cut(_verified(pairs, sets, percent), "mh-seen")
+    drop(pairs)
     links = seen.where("linked").select("a", "b")
     if seen.where("not linked").isEmpty():
         drop(placed)
@@ -132,7 +137,7 @@ def _settle(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     placed = placed.join(side, "node", "left").join(side.select(F.col("node").alias("pivot"), F.col("side").alias("main")), "pivot", "left")
     placed = placed.select("key", "node", "pivot", (F.coalesce("side", "node") != F.coalesce("main", "pivot")).alias("far"))
     still = placed.groupBy("key", "pivot").agg(F.max("far").alias("far")).where("far")
-    rest = placed.join(still.select("key"), "key").select("node").union(still.select("pivot")).distinct()
+    rest = spread(placed, still.select("key"), ["key"], many, by=["node"]).select("node").union(still.select("pivot")).distinct()
     rest = cut(rest.join(side, "node", "left").withColumn("side", F.coalesce("side", "node")), "mh-rest")
     items = sets.join(rest.select("node"), "node").select("node", F.explode("items").alias("item"))
     df = items.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -154,8 +159,14 @@ def _within_clouds(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     and gives one link for each pair of sides, so no pair of nodes is ever a row.
     """
     sized = nodes.join(sets.select("node", F.size("items").alias("size")).dropDuplicates(["node"]), "node")
-    running = F.sum(F.col("size") + 256).over(Window.partitionBy("cloud").orderBy("size", "node"))
-    placed = cut(sized.withColumn("block", F.floor((running - 1) / BLOCK_ITEMS)), "mh-blocks")
+    sized = cut(sized, "mh-sized")
+    # blocks follow from sums by (cloud, size): several small sizes share a block, a large one has several, dealt by a hash
+    sums = sized.groupBy("cloud", "size").agg(F.sum(F.col("size") + 256).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("cloud").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("base", F.floor(before / BLOCK_ITEMS)).select("cloud", "size", "base", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_ITEMS)).alias("many"))
+    many = hot(sized.groupBy("cloud", "size").agg(F.count(F.lit(1)).alias("n")), ["cloud", "size"])
+    placed = spread(sized, sums, ["cloud", "size"], many, by=["node"])
+    placed = cut(placed.withColumn("block", F.col("base") + F.pmod(F.xxhash64("node"), F.col("many"))).drop("base", "many"), "mh-blocks")
     blocks = placed.groupBy("cloud", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     later = blocks.select("cloud", F.col("block").alias("j"), "low")
     meet = blocks.select("cloud", F.col("block").alias("i"), "high").join(later, "cloud").where((F.col("i") <= F.col("j")) & (100 * F.col("high") >= percent * F.col("low")))
@@ -208,12 +219,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int =
     classes = cut(live.groupBy("set_key").agg(F.min("doc_id").alias("node")), "mh-classes")
     reps = live.join(classes, "set_key").where("doc_id = node").select("node", F.explode("bands").alias("key")).distinct()
     reps = cut(reps, "mh-reps")
-    busy = reps.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = cut(reps.join(busy, "key"), "mh-members")
+    busy = cut(reps.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "mh-busy")
+    many = cut(hot(busy, ["key"]), "mh-hot")
+    members = cut(spread(reps, busy.select("key"), ["key"], many), "mh-members")
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     sets = cut(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(k), "node long, items array<long>"), "mh-sets")
-    links = _settle(members, sets, percent)
-    drop(reps, members)
+    links = _settle(members, many, sets, percent)
+    drop(reps, members, busy, many)
     comp = components(links)
     out = live.join(classes, "set_key").select("doc_id", "n_shingles", "node").join(comp, "node", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("component_id"))
