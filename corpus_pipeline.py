@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dendrospark.llm import minhash, packing, passages, secrets, toxicity
-from dendrospark.llm.store import cut
+from dendrospark.llm.store import cut, drop, scope
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -57,7 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scope() as made:
+            kept = stage(spark, docs, sf_dir)
+        docs = cut(kept, f"stage-{name}")
+        drop(*made, *before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
