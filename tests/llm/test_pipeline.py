@@ -15,7 +15,7 @@ def test_stages_keep_columns_and_take_effect(spark):
         out = stage(spark, docs, SF)
         assert out.columns == columns, name
         if name == "near_dedup":
-            want = {r.doc_id for r in minhash.near_duplicates(docs).where("kept").collect()}
+            want = {r.doc_id for r in minhash.near_duplicates(docs, percent=80, bands=64).where("kept").collect()}
             assert {r.doc_id for r in out.select("doc_id").collect()} == want
         out = out.cache()
         assert 0 < out.count() <= n
