@@ -22,6 +22,7 @@ import base64
 import functools
 import hashlib
 import heapq
+import math
 import zlib
 from collections.abc import Iterator
 from itertools import islice
@@ -39,6 +40,7 @@ CHUNK_WORDS, CHUNK_PLACES = 500_000, 16_000_000
 #: Words that a task holds before it hands their ids on.
 HELD = 1 << 20
 BLOCK = 1 << 16
+LONG_TEXT = 1 << 20
 #: Ranks are below 2**BITS; 2**BITS - 1 stands beyond a word's ends.
 BITS = 17
 EDGE = (1 << BITS) - 1
@@ -52,51 +54,39 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
-def _pairs(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
-    out = {}
+@functools.lru_cache(maxsize=4)
+def _perfect(path: str) -> tuple[list[int], list[int], int]:
+    """(shift by bucket, slots, size): a pair's number is left << BITS | right; number << BITS | rank is in slot number % size + shift[number % len(shift)]."""
+    ranks = read_ranks(path)
+    pairs = {}
     for piece, rank in ranks.items():
         for i in range(1, len(piece)):
             a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
             if a is not None and b is not None:
-                out[a, b] = rank
-    return out
-
-
-def _hash(a, b, salt: int, size: int):
-    """A number below size; works on numpy arrays, Python numbers and columns, and never leaves 63 bits."""
-    return (a * (2654435761 + 1000003 * salt) + b * (40503001 + 7919 * salt)) % size
-
-
-@functools.lru_cache(maxsize=4)
-def _perfect(path: str) -> tuple[list[int], list[int]]:
-    """(shift by bucket, slots): the pair (a, b) is in slot (_hash(a, b, 1) + shift[_hash(a, b, 0)]) % len(slots), as (a, b, rank) in one number."""
-    pairs = _pairs(read_ranks(path))
-    n = len(pairs)
-    size, buckets = (3 * n // 2) | 1, (n // 3) | 1
-    a, b = (np.array([k[i] for k in pairs], dtype=np.int64) for i in (0, 1))
-    bucket, home = _hash(a, b, 0, buckets), _hash(a, b, 1, size).tolist()
+                pairs[a << BITS | b] = rank
+    size, buckets = 3 * len(pairs) // 2 | 1, len(pairs) // 3 | 1
+    while math.gcd(size, buckets) > 1:
+        size += 2
     members: list[list[int]] = [[] for _ in range(buckets)]
-    for i, j in enumerate(bucket.tolist()):
-        members[j].append(i)
-    taken, shift = [-1] * size, [0] * buckets
+    for number in pairs:
+        members[number % buckets].append(number)
+    slots, shift = [-1] * (2 * size), [0] * buckets
     for j in sorted(range(buckets), key=lambda x: -len(members[x])):
-        mine = members[j]
-        for s in range(size):
-            at = {(home[i] + s) % size for i in mine}
-            if len(at) == len(mine) and all(taken[x] < 0 for x in at):
-                break
-        else:
+        home = [number % size for number in members[j]]
+        if len(set(home)) < len(home):
             raise ValueError("two pairs share both hashes")
+        s = 0
+        while any(slots[x + s] >= 0 for x in home):
+            s += 1
         shift[j] = s
-        for i in mine:
-            taken[(home[i] + s) % size] = i
-    keys = [((x << BITS | y) << BITS) | r for (x, y), r in pairs.items()]
-    return shift, [keys[i] if i >= 0 else -1 for i in taken]
+        for x, number in zip(home, members[j], strict=True):
+            slots[x + s] = number << BITS | pairs[number]
+    return shift, slots[: size + max(shift)], size
 
 
-def _numbers(values: list[int]) -> Column:
-    """array<long> that Spark folds to a constant."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+def _numbers(values: list[int], kind: str = "int") -> Column:
+    """An array that Spark folds to a constant."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
 def whole_literal(ranks: dict[bytes, int]) -> Column:
@@ -114,11 +104,13 @@ def _bind(value: Column, body) -> Column:
 
 
 def encode_column(word: Column, path: str) -> Column:
-    """The ranks of a binary word, as array<long>; each literal stands in the plan once and is bound to a variable."""
-    shift, slots = _perfect(path)
+    """The ranks of a binary word, as array<int>; each literal stands in the plan once and is bound to a variable."""
+    shift, slots, size = _perfect(path)
     ranks = read_ranks(path)
-    literals = F.struct(_numbers(shift).alias("shift"), _numbers(slots).alias("slots"), _numbers([ranks.get(bytes([i]), EDGE) for i in range(256)]).alias("bytes"), whole_literal(ranks).alias("whole"))
-    return _bind(literals, lambda t: _encode(word, t, len(shift), len(slots)))
+    one = [ranks.get(bytes([i]), EDGE) for i in range(256)]
+    two = [ranks.get(bytes([i, j]), EDGE + 1) for i in range(256) for j in range(256)]
+    literals = F.struct(_numbers(shift).alias("shift"), _numbers(slots, "long").alias("slots"), _numbers(one).alias("one"), _numbers(two).alias("two"), whole_literal(ranks).alias("whole"))
+    return _bind(literals, lambda t: _encode(word, t, len(shift), size))
 
 
 def _encode(word: Column, table: Column, buckets: int, size: int) -> Column:
@@ -126,8 +118,9 @@ def _encode(word: Column, table: Column, buckets: int, size: int) -> Column:
 
     def rank(a: Column, b: Column) -> Column:
         """The pair's rank, or something from 2**BITS on: what is in its slot less what it would be at rank 0."""
-        moved = _hash(a, b, 1, size) + F.get(table["shift"], _hash(a, b, 0, buckets).cast("int"))
-        return F.pmod(F.get(table["slots"], (moved % size).cast("int")) - (a * none + b) * none, F.lit(1 << 3 * BITS))
+        number = a * F.lit(none).cast("long") + b
+        at = number % F.lit(size) + F.get(table["shift"], (number % F.lit(buckets)).cast("int"))
+        return F.pmod(F.get(table["slots"], at.cast("int")) - number * F.lit(none), F.lit(1 << 3 * BITS))
 
     def step(state: Column, _: Column) -> Column:
         """p: ids between two edges; r: ranks of neighbouring pairs; only those beside a merge are looked up again."""
@@ -135,30 +128,32 @@ def _encode(word: Column, table: Column, buckets: int, size: int) -> Column:
 
         def merged(least: Column) -> Column:
             def put(at: Column) -> Column:
-                rest = F.size(p)
-                sides = F.array(rank(F.element_at(p, at - 1), least), rank(least, F.element_at(p, at + 2)))
+                rest, new = F.size(p), least.cast("int")
+                sides = F.array(rank(F.element_at(p, at - 1), new), rank(new, F.element_at(p, at + 2)))
                 return F.struct(
-                    F.concat(F.slice(p, F.lit(1), at - 1), F.array(least), F.slice(p, at + 2, rest)).alias("p"),
+                    F.concat(F.slice(p, F.lit(1), at - 1), F.array(new), F.slice(p, at + 2, rest)).alias("p"),
                     F.concat(F.slice(r, F.lit(1), at - 2), sides, F.slice(r, at + 2, rest)).alias("r"),
                 )
 
-            return F.when(least >= none, state).otherwise(_bind(F.array_position(r, least).cast("int"), put))
+            return F.when(least < none, _bind(F.array_position(r, least).cast("int"), put)).otherwise(state)
 
         return _bind(F.array_min(r), merged)
 
-    def fold(p: Column) -> Column:
-        n = F.size(p)
-        pairs = F.zip_with(F.slice(p, F.lit(1), n - 1), F.slice(p, F.lit(2), n), rank)
-        done = F.aggregate(F.sequence(F.lit(4), F.greatest(n, F.lit(4))), F.struct(p.alias("p"), pairs.alias("r")), step)["p"]
+    def fold(code: Column) -> Column:
+        """The bytes' numbers to ids."""
+        n = F.size(code)
+        edge, gap = F.array(F.lit(EDGE)), F.array(F.lit(none).cast("long"))
+        p = F.concat(edge, F.transform(code, lambda c: F.get(table["one"], c)), edge)
+        pairs = F.zip_with(F.slice(code, F.lit(1), n - 1), F.slice(code, F.lit(2), n), lambda a, b: F.get(table["two"], a * 256 + b).cast("long"))
+        done = F.aggregate(F.sequence(F.lit(1), n), F.struct(p.alias("p"), F.concat(gap, pairs, gap).alias("r")), step)["p"]
         return F.slice(done, F.lit(2), F.size(done) - 2)
 
-    edge = F.array(F.lit(EDGE).cast("long"))
-    ids = F.transform(F.split(F.decode(word, "ISO-8859-1"), F.lit("")), lambda c: F.get(table["bytes"], F.ascii(c)))
+    code = F.transform(F.split(F.decode(word, "ISO-8859-1"), F.lit("")), lambda c: F.ascii(c))
     text = F.hex(word)
     row = F.get(table["whole"], (F.crc32(text.cast("binary")) % WHOLE_ROWS).cast("int"))
     mark = F.concat(F.lit("|"), text, F.lit("="))
-    at = F.substring_index(F.call_function("substring_index", row, mark, F.lit(-1)), "|", 1).cast("long")
-    return F.when(F.contains(row, mark), F.array(at)).otherwise(_bind(F.concat(edge, ids, edge), fold))
+    at = F.substring_index(F.call_function("substring_index", row, mark, F.lit(-1)), "|", 1).cast("int")
+    return F.when(F.contains(row, mark), F.array(at)).otherwise(_bind(code, fold))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -212,9 +207,10 @@ def _split(pattern: str):
         import regex
         import zstandard
 
-        find = regex.compile(pattern).finditer
+        split = regex.compile(pattern)
         part, made = TaskContext.get().partitionId(), 0
         known: dict[str, int] = {}
+        put = known.setdefault
         docs: list[int | None] = []
         sizes: list[int] = []
         places: list[np.ndarray] = []
@@ -232,8 +228,10 @@ def _split(pattern: str):
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found, n = find(text.as_py() or ""), 0
-                while block := [known.setdefault(m.group(), len(known)) for m in islice(found, BLOCK)]:
+                text, n = text.as_py() or "", 0
+                # a very long text's words are never all held
+                found = iter(split.findall(text)) if len(text) < LONG_TEXT else (m.group() for m in split.finditer(text))
+                while block := [put(w, len(known)) for w in islice(found, BLOCK)]:
                     places.append(np.array(block, dtype="<u4"))
                     n += len(block)
                 docs.append(doc)
@@ -242,6 +240,7 @@ def _split(pattern: str):
                 if len(known) > CHUNK_WORDS or held > CHUNK_PLACES:
                     yield out()
                     known, docs, sizes, places, held, made = {}, [], [], [], 0, made + 1
+                    put = known.setdefault
         if docs:
             yield out()
 
@@ -251,7 +250,7 @@ def _split(pattern: str):
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(chunk, place, word) of the words that are to be folded."""
     for batch in batches:
-        for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(4), strict=True):
             raw, first = _parted(packed.as_py())
             place = np.flatnonzero(np.diff(first) <= LONG_WORD)
             for lo in range(0, len(place), BLOCK):
@@ -309,7 +308,7 @@ def _assembled(shared):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         import zstandard
 
-        ranks, pieces = shared.value
+        ranks, pieces, numbers = shared.value
         plain = zstandard.ZstdDecompressor()
         raw, first = _parted(left.column("words")[0].as_py())
         n = len(first) - 1
@@ -318,7 +317,7 @@ def _assembled(shared):
         decoded: list[bytes] = [b""] * n
 
         def put(place: int, ids: list[int]) -> None:
-            written[place], size[place] = " ".join(map(str, ids)), len(ids)
+            written[place], size[place] = " ".join([numbers[i] for i in ids]), len(ids)
             decoded[place] = b"".join([pieces[i] for i in ids])
 
         for packed in right.column("answers"):
@@ -354,9 +353,10 @@ def _assembled(shared):
 def encoded(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
     ranks = read_ranks(rank_path)
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, {i: p for p, i in ranks.items()}))
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, {i: p for p, i in ranks.items()}, {i: str(i) for i in ranks.values()}))
     chunks = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_split(pattern), CHUNKS).repartition("chunk")
-    asked = chunks.select("chunk", "words").mapInArrow(_asked, "chunk long, place int, word binary")
+    # both uses of ``chunks`` read all its columns, so that Spark shuffles it once and reuses the exchange
+    asked = chunks.mapInArrow(_asked, "chunk long, place int, word binary")
     nth = F.row_number().over(Window.partitionBy("word").orderBy("chunk"))
     folded = asked.withColumn("nth", nth).select("chunk", "place", F.when(F.col("nth") == 1, encode_column(F.col("word"), rank_path)).alias("ids"))
     answers = folded.mapInArrow(_handed, "chunk long, answers binary")
