@@ -15,11 +15,11 @@ MOST_HOT = 4096
 TASK_ROWS = 4096
 
 
-def hot(counts: DataFrame, keys: list[str], n: str = "n", task_rows: int = TASK_ROWS) -> DataFrame:
-    """(keys, parts) of the keys whose ``n`` rows pass ``task_rows``; counts has one row for each key."""
+def hot(counts: DataFrame, keys: list[str], also: tuple[str, ...] = (), n: str = "n", task_rows: int = TASK_ROWS) -> DataFrame:
+    """(keys, also, parts) of the keys whose ``n`` rows pass ``task_rows``; counts has one row for each key."""
     total = counts.agg(F.sum(n)).first()[0] or 0
     least = max(task_rows, -(-total // MOST_HOT))
-    return counts.where(F.col(n) > least).select(*keys, F.ceil(F.col(n) / least).cast("int").alias("parts"))
+    return counts.where(F.col(n) > least).select(*keys, *also, F.ceil(F.col(n) / least).cast("int").alias("parts"))
 
 
 def spread(big: DataFrame, small: DataFrame, keys: list[str], hot_keys: DataFrame, how: str = "inner", by: list[str] | None = None) -> DataFrame:
