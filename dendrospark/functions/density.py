@@ -7,7 +7,7 @@ import numpy as np
 
 def bw_nrd0(x: np.ndarray) -> float:
     if len(x) < 2:
-        raise ValueError("need at least 2 data points")
+        raise ValueError("a bandwidth needs two values or more")
     hi = np.std(x, ddof=1)
     q75, q25 = np.percentile(x, [75, 25])
     return 0.9 * (min(hi, (q75 - q25) / 1.34) or hi or abs(x[0]) or 1.0) * len(x) ** -0.2
@@ -22,8 +22,9 @@ def density(x: np.ndarray, n: int = 512, cut: float = 3.0) -> tuple[np.ndarray,
     i = np.clip(np.floor(at).astype(int), 0, n - 2)
     part = at - i
     mass = np.bincount(i, 1 - part, 2 * n) + np.bincount(i + 1, part, 2 * n)
-    d = np.arange(2 * n) * step
-    d = np.minimum(d, 2 * n * step - d)
+    # the kernel's 2n ordinates are spread over twice the range, its first and last included, as R's density has them
+    d = np.linspace(0, 2 * (wide_hi - wide_lo), 2 * n)
+    d[n + 1 :] = d[n - 1 : 0 : -1]
     kernel = np.exp(-0.5 * (d / bw) ** 2) / (bw * np.sqrt(2 * np.pi))
     y = np.fft.irfft(np.fft.rfft(mass / len(x)) * np.fft.rfft(kernel), 2 * n)[:n]
     grid = np.linspace(lo, hi, n)

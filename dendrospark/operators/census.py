@@ -12,13 +12,14 @@ from ..sources.dataset import CellDataset
 
 
 def estimate_t(cds: CellDataset, thresh: float = 0.1) -> DataFrame:
-    """cell_id, t: 10 to the mode of log10 expression above the threshold, by a kernel density a cell."""
+    """cell_id, t: 10 to the mode of log10 expression above the threshold, by a kernel density a cell; 1 for a cell without such values."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"cell_id": part["cell_id"].iloc[:1], "t": [10 ** dmode(np.sort(np.log10(part["value"].to_numpy())))]})
 
     kind = cds.expr.schema["cell_id"].dataType.simpleString()
-    return cds.expr.where(F.col("value") > thresh).groupBy("cell_id").applyInPandas(run, f"cell_id {kind}, t double")
+    found = cds.expr.where(F.col("value") > thresh).groupBy("cell_id").applyInPandas(run, f"cell_id {kind}, t double")
+    return cds.cells.select("cell_id").join(found, "cell_id", "left").fillna(1.0, "t")
 
 
 def total_proposal(cds: CellDataset, t: DataFrame, capture_rate: float = 0.25, thresh: float = 0.1) -> DataFrame:

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import cut, drop
+
 BLOCK = 2048
 
 
@@ -109,35 +111,63 @@ def estimate_dc(points: DataFrame, low_rate: float = 0.01, high_rate: float = 0.
 def assign_clusters(spark: SparkSession, points: DataFrame, rho_threshold: float, delta_threshold: float, most_rounds: int = 64) -> DataFrame:
     """points(cell_id, rho, delta, nearest, has_denser) -> plus peaks, cluster. Peaks are numbered by cell_id; others follow their nearest
     denser point by pointer jumping; a chain that ends at no peak is -1."""
+    return follow_peaks(points.withColumn("peaks", (F.col("rho") > rho_threshold) & (F.col("delta") > delta_threshold)), most_rounds)
+
+
+def follow_peaks(peaks: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """peaks(cell_id, peaks, nearest, has_denser, ...) -> plus cluster."""
     from pyspark.sql import Window
 
-    peaks = points.withColumn("peaks", (F.col("rho") > rho_threshold) & (F.col("delta") > delta_threshold))
     number = peaks.where("peaks").select("cell_id", F.row_number().over(Window.orderBy("cell_id")).alias("label"))
     at = peaks.join(number, "cell_id", "left").select("cell_id", F.when(F.col("peaks") | ~F.col("has_denser"), F.col("cell_id")).otherwise(F.col("nearest")).alias("next"))
+    at = cut(at, "hops")
     for _ in range(most_rounds):
         hop = at.select(F.col("cell_id").alias("next"), F.col("next").alias("after"))
-        new = at.join(hop, "next").select("cell_id", F.col("after").alias("next"), (F.col("next") != F.col("after")).alias("moved")).cache()
+        new = cut(at.join(hop, "next").select("cell_id", F.col("after").alias("next"), (F.col("next") != F.col("after")).alias("moved")), "hops")
         moved = new.where("moved").limit(1).count()
-        at = new.select("cell_id", "next")
+        drop(at)
+        at = new
         if not moved:
             break
+    else:
+        raise RuntimeError("the chains of denser points did not settle")
     labels = number.select(F.col("cell_id").alias("next"), "label")
-    return peaks.join(at.join(labels, "next", "left").select("cell_id", F.coalesce("label", F.lit(-1)).alias("cluster")), "cell_id")
+    return peaks.join(at.drop("moved").join(labels, "next", "left").select("cell_id", F.coalesce("label", F.lit(-1)).alias("cluster")), "cell_id")
 
 
 def halo(points: DataFrame, dc: float) -> DataFrame:
-    """points(cell_id, coords, rho, cluster) -> cell_id, halo: rho under the largest mean rho of a pair across clusters within dc."""
+    """points(cell_id, coords, rho, cluster) -> cell_id, halo: rho under the largest mean rho of a pair across clusters within dc. Unassigned points (-1) make no border and are no halo."""
 
     def body(a: dict, b: dict) -> pa.Table:
         d = distances(a["coords"], b["coords"])
         mean = (a["rho"][:, None] + b["rho"][None, :]) / 2
-        near = (d <= dc) & (a["cluster"][:, None] != b["cluster"][None, :])
+        near = (d <= dc) & (a["cluster"][:, None] != b["cluster"][None, :]) & (a["cluster"][:, None] != -1) & (b["cluster"][None, :] != -1)
         top = np.where(near, mean, -np.inf).max(axis=1) if d.shape[1] else np.full(len(d), -np.inf)
         keep = np.isfinite(top)
         return pa.table({"cluster": pa.array(a["cluster"][keep].astype(np.int64)), "border": pa.array(top[keep].astype(float))})
 
     border = _block_pairs(points, ["coords", "rho", "cluster"], body, "cluster long, border double").groupBy("cluster").agg(F.max("border").alias("border"))
-    return points.withColumn("cluster", F.col("cluster").cast("long")).join(border, "cluster", "left").select("cell_id", (F.col("rho") < F.coalesce("border", F.lit(0.0))).alias("halo"))
+    return points.withColumn("cluster", F.col("cluster").cast("long")).join(border, "cluster", "left").select("cell_id", ((F.col("cluster") != -1) & (F.col("rho") < F.coalesce("border", F.lit(0.0)))).alias("halo"))
+
+
+def adopt(points: DataFrame) -> DataFrame:
+    """points(cell_id, coords, cluster, ...): unassigned ones (-1) take the cluster of their nearest assigned point, ties to the smaller cell_id."""
+
+    def body(a: dict, b: dict) -> pa.Table:
+        lost, known = np.flatnonzero(a["cluster"] == -1), np.flatnonzero(b["cluster"] != -1)
+        known = known[np.argsort(b["cell_id"][known], kind="stable")]
+        if not len(lost) or not len(known):
+            lost = lost[:0]
+            at, near = lost, np.zeros(0)
+        else:
+            d = distances(a["coords"][lost], b["coords"][known])
+            at, near = known[d.argmin(axis=1)], d.min(axis=1)
+        return pa.table({"cell_id": pa.array(a["cell_id"][lost], pa.int64()), "d": pa.array(near, pa.float64()), "id": pa.array(b["cell_id"][at], pa.int64()), "c": pa.array(b["cluster"][at].astype(np.int32))})
+
+    found = _block_pairs(points, ["coords", "cluster"], body, "cell_id long, d double, id long, c int")
+    best = found.groupBy("cell_id").agg(F.min(F.struct("d", "id", "c")).alias("to"))
+    kept = [c for c in points.columns if c != "cluster"]
+    return points.join(best, "cell_id", "left").select(*kept, F.when(F.col("cluster") == -1, F.coalesce("to.c", F.lit(1))).otherwise(F.col("cluster")).alias("cluster"))
 
 
 def nearest_node(points: DataFrame, nodes: DataFrame) -> DataFrame:

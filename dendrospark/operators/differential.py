@@ -18,7 +18,7 @@ def _xlogy(x: Column, y: Column) -> Column:
 
 
 def chi2_tail(stat: Column, df: Column) -> Column:
-    """P(X > stat) for df 1 to 4 in closed form; df 1 and 3 by an erfc series (absolute error under 2e-7)."""
+    """P(X > stat) as the finite sum of a whole number of degrees of freedom; odd ones by an erfc series (absolute error under 2e-7)."""
     z = F.sqrt(stat / 2)
     t = 1 / (1 + 0.5 * z)
     # Chebyshev coefficients of a public rational erfc approximation.
@@ -28,8 +28,14 @@ def chi2_tail(stat: Column, df: Column) -> Column:
         poly = F.lit(k) + t * poly
     erfc = t * F.exp(-z * z + poly)
     e = F.exp(-stat / 2)
-    three = erfc + F.sqrt(2 * stat / F.lit(3.141592653589793)) * e
-    return F.when(df == 1, erfc).when(df == 2, e).when(df == 3, three).when(df == 4, e * (1 + stat / 2))
+    odd = df % 2
+    # terms (stat/2)**(j + odd/2) / gamma(j + 1 + odd/2), each from the one before
+    first = F.when(odd == 1, F.sqrt(2 * stat / F.lit(3.141592653589793))).otherwise(F.lit(1.0))
+    many = F.greatest(F.floor((df - odd) / 2).cast("int"), F.lit(0))
+    start = F.struct(first.alias("term"), F.lit(0.0).alias("total"))
+    step = lambda s, j: F.struct((s["term"] * (stat / 2) / (j + odd / 2)).alias("term"), (s["total"] + s["term"]).alias("total"))
+    steps = F.when(many > 0, F.sequence(F.lit(1), many)).otherwise(F.array().cast("array<int>"))
+    return F.when(odd == 1, erfc).otherwise(F.lit(0.0)) + e * F.aggregate(steps, start, step)["total"]
 
 
 def bh_adjust(tests: DataFrame, p: str = "pval", ok: str | None = None) -> DataFrame:
@@ -81,8 +87,10 @@ def group_lrt(cds: CellDataset, group: str, family: str, asympt: float | None =
         part = F.col("ss") - F.col("s") * F.col("s") / F.col("n")
     got = j.groupBy("gene_id").agg(F.sum(part).alias("v"), F.first("tot_s").alias("tot_s"), F.first("tot_ss").alias("tot_ss"), F.first("tot_n").alias("tot_n"), (F.first("k") - 1).alias("df"))
     if family == "gaussian":
-        stat = F.col("tot_n") * F.ln((F.col("tot_ss") - F.col("tot_s") * F.col("tot_s") / F.col("tot_n")) / F.col("v"))
+        # a gene without deviations has no test
+        stat = F.when((F.col("v") > 0), F.col("tot_n") * F.ln(F.try_divide(F.col("tot_ss") - F.col("tot_s") * F.col("tot_s") / F.col("tot_n"), F.col("v"))))
     else:
         stat = F.col("v")
-    tested = got.select("gene_id", F.greatest(F.lit(0.0), stat).alias("stat"), "df").withColumn("pval", chi2_tail(F.col("stat"), F.col("df")))
-    return bh_adjust(tested)
+    tested = got.select("gene_id", F.when(stat.isNotNull(), F.greatest(F.lit(0.0), stat)).alias("stat"), "df")
+    tested = tested.withColumn("pval", F.coalesce(chi2_tail(F.col("stat"), F.col("df")), F.lit(1.0))).withColumn("_ok", F.col("stat").isNotNull())
+    return bh_adjust(tested, ok="_ok").drop("_ok")

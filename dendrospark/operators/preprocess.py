@@ -21,7 +21,7 @@ def size_factors(cds: CellDataset, method: str = METHODS[0], round_exprs: bool =
     if method == "mode":
         raise NotImplementedError("size factors by mode are not supported")
     if method not in METHODS:
-        raise ValueError(f"Unknown size factor method: {method!r}")
+        raise ValueError(f"size factors have no method {method!r}")
     x = cds.expr.select("cell_id", "gene_id", (F.rint("value") if round_exprs else F.col("value")).alias("x"))
     cells = cds.cells.select("cell_id")
     n = cells.count()
@@ -29,7 +29,11 @@ def size_factors(cds: CellDataset, method: str = METHODS[0], round_exprs: bool =
         totals = cells.join(x.groupBy("cell_id").agg(F.sum("x").alias("total")), "cell_id", "left").fillna(0.0, "total")
         mean = totals.agg(F.avg(F.when(F.col("total") > 0, F.ln("total")).otherwise(float("-inf"))).alias("m"))
         joined = totals.crossJoin(F.broadcast(mean))
-        value = F.col("total") / F.exp("m") if method == METHODS[0] else F.ln("total") / F.col("m")
+        # an empty cell makes the mean -infinity: its own factor is 0/0 and becomes 1, those of others are infinite; by logarithms it is the other way round
+        logs = F.when(F.col("total") > 0, F.ln("total")).otherwise(float("-inf"))
+        plain = F.when(F.exp("m") > 0, F.try_divide("total", F.exp("m"))).when(F.col("total") > 0, float("inf"))
+        ratio = F.when(F.col("m") != 0, logs / F.col("m")).when(logs != 0, F.signum(logs) * float("inf"))
+        value = plain if method == METHODS[0] else ratio
         return joined.select("cell_id", _or_one(value).alias("size_factor"))
     if method == "median-geometric-mean":
         means = x.where("x > 0").groupBy("gene_id").agg(F.avg(F.ln("x")).alias("m"), F.count(F.lit(1)).alias("nnz")).where(F.col("nnz") == n)
@@ -116,7 +120,7 @@ def gamma_identity_fit(mu: np.ndarray, disp: np.ndarray, start: tuple[float, flo
     return beta, fit
 
 
-def parametric_dispersion_fit(mu: np.ndarray, disp: np.ndarray, max_iter: int = 10) -> tuple[float, float]:
+def parametric_dispersion_fit(mu: np.ndarray, disp: np.ndarray, max_iter: int = 11) -> tuple[float, float]:
     """asymptDisp and extraPois; residuals outside (1e-6, 1e4) of the curve leave the fit."""
     coef = np.array([1e-6, 1.0])
     for _ in range(max_iter):
@@ -149,7 +153,7 @@ def estimate_dispersions(cds: CellDataset, min_cells_detected: int = 1, remove_o
     table = dispersion_moments(cds, min_cells_detected, by)
     rows = table.select("mu", "disp").toPandas()
     if not len(rows):
-        raise RuntimeError("No genes pass min_cells_detected; cannot estimate dispersions.")
+        raise RuntimeError("no gene is detected in enough cells for dispersions")
     mu, disp = rows["mu"].to_numpy(), rows["disp"].to_numpy()
     use = disp > 0
     coef = parametric_dispersion_fit(mu[use], disp[use])
