@@ -120,33 +120,37 @@ def _encode(word: Column, table: Column, buckets: int, size: int) -> Column:
         """The pair's rank, or something from 2**BITS on: what is in its slot less what it would be at rank 0."""
         number = a * F.lit(none).cast("long") + b
         at = number % F.lit(size) + F.get(table["shift"], (number % F.lit(buckets)).cast("int"))
-        return F.pmod(F.get(table["slots"], at.cast("int")) - number * F.lit(none), F.lit(1 << 3 * BITS))
+        return F.least(F.pmod(F.get(table["slots"], at.cast("int")) - number * F.lit(none), F.lit(1 << 3 * BITS)), F.lit(none))
 
-    def step(state: Column, _: Column) -> Column:
-        """p: ids between two edges; r: ranks of neighbouring pairs; only those beside a merge are looked up again."""
-        p, r = state["p"], state["r"]
+    def piece(rank_after: Column, number: Column) -> Column:
+        """A piece with the rank of its pair with the next one, in one number."""
+        return rank_after * F.lit(none) + number
+
+    def step(e: Column, _: Column) -> Column:
+        """e: pieces between two edges; only the ranks beside a merge are looked up again."""
+
+        def merged(low: Column) -> Column:
+            least = F.shiftright(low, BITS)
 
-        def merged(least: Column) -> Column:
             def put(at: Column) -> Column:
-                rest, new = F.size(p), least.cast("int")
-                sides = F.array(rank(F.element_at(p, at - 1), new), rank(new, F.element_at(p, at + 2)))
-                return F.struct(
-                    F.concat(F.slice(p, F.lit(1), at - 1), F.array(new), F.slice(p, at + 2, rest)).alias("p"),
-                    F.concat(F.slice(r, F.lit(1), at - 2), sides, F.slice(r, at + 2, rest)).alias("r"),
-                )
+                left, right = F.element_at(e, at - 1).bitwiseAND(EDGE), F.element_at(e, at + 2).bitwiseAND(EDGE)
+                new = F.array(piece(rank(left, least), left), piece(rank(least, right), least))
+                return F.concat(F.slice(e, F.lit(1), at - 2), new, F.slice(e, at + 2, F.size(e)))
 
-            return F.when(least < none, _bind(F.array_position(r, least).cast("int"), put)).otherwise(state)
+            # equal ranks may come from different pairs: the leftmost goes first
+            first = F.array_position(F.transform(e, lambda x: F.shiftright(x, BITS)), least).cast("int")
+            return F.when(least < none, _bind(first, put)).otherwise(e)
 
-        return _bind(F.array_min(r), merged)
+        return _bind(F.array_min(e), merged)
 
     def fold(code: Column) -> Column:
         """The bytes' numbers to ids."""
         n = F.size(code)
-        edge, gap = F.array(F.lit(EDGE)), F.array(F.lit(none).cast("long"))
-        p = F.concat(edge, F.transform(code, lambda c: F.get(table["one"], c)), edge)
-        pairs = F.zip_with(F.slice(code, F.lit(1), n - 1), F.slice(code, F.lit(2), n), lambda a, b: F.get(table["two"], a * 256 + b).cast("long"))
-        done = F.aggregate(F.sequence(F.lit(1), n), F.struct(p.alias("p"), F.concat(gap, pairs, gap).alias("r")), step)["p"]
-        return F.slice(done, F.lit(2), F.size(done) - 2)
+        edge = F.array(F.lit((none << BITS) + EDGE).cast("long"))
+        after = F.concat(F.slice(code, F.lit(2), n), F.array(F.lit(None).cast("int")))
+        ids = F.zip_with(code, after, lambda a, b: piece(F.coalesce(F.get(table["two"], a * 256 + b), F.lit(none)).cast("long"), F.get(table["one"], a)))
+        done = F.aggregate(F.sequence(F.lit(1), n), F.concat(edge, ids, edge), step)
+        return F.transform(F.slice(done, F.lit(2), F.size(done) - 2), lambda x: x.bitwiseAND(EDGE).cast("int"))
 
     code = F.transform(F.split(F.decode(word, "ISO-8859-1"), F.lit("")), lambda c: F.ascii(c))
     text = F.hex(word)
