@@ -50,9 +50,9 @@ def archive(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, date: str | No
     marks = cut(rows.select("page_id", "at", "url", "digest", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("bytes")), "warc-marks")
     first = cut(marks.groupBy("digest").agg(F.max("page_id").alias("response"), F.min("at").alias("at"), F.count(F.lit(1)).alias("n")), "warc-first")
     many = cut(hot(first, ["digest"]), "warc-hot")
-    # rows of the least page of each payload; repeats of such a row are merged where they are before they are shuffled
+    # rows of the least page of each payload; repeats of such a row meet where the join has dealt them
     holders = rows.select("digest", "at", "payload").join(first.select("digest", "at").hint("merge"), ["digest", "at"], "left_semi")
-    blobs = cut(holders.groupBy("digest").agg(F.first("payload").alias("payload")), "warc-blobs")
+    blobs = cut(holders.groupBy("digest", "at").agg(F.first("payload").alias("payload")).select("digest", "payload"), "warc-blobs")
     known = spread(marks.drop("at"), first.select("digest", "response"), ["digest"], many)
     again = (F.col("bytes") >= revisit_bytes) & F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     kind = F.when(again, "revisit").otherwise("response")
