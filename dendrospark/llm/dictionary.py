@@ -75,11 +75,17 @@ def word_keys(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return words(buf, offs).hash
 
 
-def by_chunk(docs: DataFrame, vocabulary: DataFrame, keep: list[str], score: Callable, schema: str) -> DataFrame:
+def words_asked(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    w = words(buf, offs)
+    return w.hash, w.doc
+
+
+def by_chunk(docs: DataFrame, vocabulary: DataFrame, keep: list[str], score: Callable, schema: str, asks: Callable = words_asked) -> DataFrame:
     """Run ``score(kept columns, bytes, offsets, keys, values)`` over slices of every chunk.
 
-    vocabulary: (key long, n long) by word hash. keys and values are the chunk's part of it, sorted by key as
-    unsigned numbers; words that it doesn't have are missing there.
+    vocabulary: (key long, n long), each key once. ``asks(bytes, offsets)`` gives the keys that a slice needs and the row of each,
+    all word hashes unless told otherwise. keys and values are the chunk's part of the vocabulary, sorted by key as
+    unsigned numbers; keys that it doesn't have are missing there.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-total // CHUNK_BYTES))
@@ -95,11 +101,11 @@ def by_chunk(docs: DataFrame, vocabulary: DataFrame, keep: list[str], score: Cal
         for batch in batches:
             chunk = batch.column(len(keep) + 1).to_numpy(zero_copy_only=False)
             for lo, hi, buf, offs in slices(batch.column(len(keep))):
-                w = words(buf, offs)
-                of = chunk[lo:hi][w.doc]
+                keys, row = asks(buf, offs)
+                of = chunk[lo:hi][row]
                 for c in np.unique(of).tolist():
                     tally = found.setdefault(c, Tally())
-                    tally.add(w.hash[of == c])
+                    tally.add(keys[of == c])
                     if tally.full:
                         yield out(c)
         for c in list(found):

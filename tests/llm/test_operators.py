@@ -251,21 +251,73 @@ def test_suffix_tree_base_scores_and_normalisation(docs, none):
         want[i, out(i), len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 4)] += 1
     assert want == Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got)
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
-    tree, _ = suffixtree.fit(docs)
-    assert abs(tree.root.sum() - 1) < 1e-9
-    for level in range(len(tree.levels)):
-        sym = np.arange(tree.symbols)
-        for ctx in range(min(5, len(tree.levels[level].code))):
-            run, c2, d = [], ctx, level
-            while d >= 0:
-                run.append(int(tree.levels[d].code[c2] % tree.symbols) if d else int(tree.levels[0].code[c2]))
-                c2, d = int(tree.levels[d].code[c2] // tree.symbols), d - 1
-            streams = np.concatenate([[*run, s] for s in sym])
-            lp = suffixtree.log_probs(streams, np.arange(0, len(streams) + 1, len(run) + 1), tree)
-            assert abs((10 ** lp[len(run) :: len(run) + 1]).sum() - 1) < 1e-6
     assert suffixtree.scored(none).count() == 0
 
 
+def brute_tree(texts, least, depth, m):
+    """P(token | words before) by the definition, over tuples of words."""
+    runs = [[*toks(t), "\n"] for t in texts]
+    count = Counter(tuple(r[i : i + d]) for r in runs for d in range(1, depth + 2) for i in range(len(r) - d + 1))
+    root = Counter(x for r in runs for x in r)
+    total = sum(root.values())
+    entries = {}
+    for run, n in count.items():
+        if len(run) > 1 and n >= least:
+            entries.setdefault(run[:-1], {})[run[-1]] = n
+    share = lambda s, x: entries[s][x] / count[s] if s else root[x] / total
+    kept = set()
+    for s, xs in entries.items():
+        seen, c = sum(xs.values()), count[s]
+        gain = sum(n * math.log(n / c / share(s[1:], x)) for x, n in xs.items())
+        if c > seen:
+            gain += (c - seen) * math.log((c - seen) / c / (1 - sum(share(s[1:], x) for x in xs)))
+        free = max(len(xs) + (c > seen) - 1, 1)
+        if gain > (free + 1.645 * math.sqrt(2 * free)) / 2:
+            kept |= {s[j:] for j in range(len(s))}
+
+    def prob(s, x):
+        if not s:
+            return (root[x] + 0.1) / (total + 0.1 * (len(root) + 1))
+        if s not in kept:
+            return prob(s[1:], x)
+        return (entries[s].get(x, 0) + (m + count[s] - sum(entries[s].values())) * prob(s[1:], x)) / (count[s] + m)
+
+    return prob, kept, root
+
+
+def test_suffix_tree_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    texts = []
+    for i in range(150):
+        w = [f"w{min(int(x), 40)}" for x in rng.zipf(1.4, 60)]
+        texts.append(" ".join([*w[:30], *"The quick brown fox jumps over".split(), *w[30:], *(["again"] * (i % 7))]))
+    texts += ["", None, "the quick", "quick brown fox sits"]
+    data = [(i, t) for i, t in enumerate(texts)]
+    out = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    for least in (3, 12):
+        prob, kept, root = brute_tree([t for i, t in data if not out(i)], least, 3, 5.0)
+        assert {len(s) for s in kept} == {1, 2, 3}
+        for s in sorted(kept)[:40]:
+            assert abs(sum(prob(s, x) for x in [*root, "unknown"]) - 1) < 1e-9
+        got = {r.doc_id: r.score for r in suffixtree.scored(spark.createDataFrame(data, "doc_id long, text string"), least=least).collect()}
+        for i, t in data:
+            r = [*toks(t), "\n"]
+            want = sum(math.log10(prob(tuple(r[max(0, j - 3) : j]), x)) for j, x in enumerate(r))
+            assert abs(want - got[i]) < 1e-6 * max(1, abs(want)), (i, want, got[i])
+
+
+def test_suffix_tree_grows_with_the_corpus(spark):
+    """A phrase keeps its place in the tree however many other texts there are."""
+    phrase = "alpha beta gamma delta"
+    texts = [f"{phrase} x{i}" for i in range(40)]
+    sizes = []
+    for more in (0, 400, 4000):
+        texts_all = texts + [f"a{i % 97} b{i % 89} c{i % 83} d{i % 97} e{i % 89}" for i in range(more)]
+        tree = suffixtree.fit(spark.createDataFrame([(t,) for t in texts_all], "text string"), least=20)
+        sizes.append(tree.entries.count())
+    assert 3 <= sizes[0] <= sizes[1] < sizes[2]
+
+
 def test_passages_are_found_and_cut(docs, none):
     found = passages.repeated_passages(docs).collect()
     texts = {i: toks(t) for i, t, *_ in rows()}
