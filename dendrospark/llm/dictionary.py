@@ -1,6 +1,6 @@
 """Exact word statistics brought to documents without broadcasting a vocabulary.
 
-``word_counts`` counts all words of a corpus.  ``by_chunk`` deals documents into chunks of bounded
+``tallied`` counts all words of a corpus.  ``by_chunk`` deals documents into chunks of bounded
 size by a hash, asks for each chunk's distinct words once, and runs a function over a chunk's documents together with
 its part of the vocabulary.  What travels per chunk is its distinct words, not their occurrences, and no
 group grows with the corpus.
@@ -81,12 +81,13 @@ def words_asked(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def by_chunk(docs: DataFrame, vocabulary: DataFrame, keep: list[str], score: Callable, schema: str, asks: Callable = words_asked) -> DataFrame:
-    """Run ``score(kept columns, bytes, offsets, keys, values)`` over slices of every chunk.
+    """Run ``score(kept columns, bytes, offsets, keys, *values)`` over slices of every chunk.
 
-    vocabulary: (key long, n long), each key once. ``asks(bytes, offsets)`` gives the keys that a slice needs and the row of each,
-    all word hashes unless told otherwise. keys and values are the chunk's part of the vocabulary, sorted by key as
-    unsigned numbers; keys that it doesn't have are missing there.
+    vocabulary: key long, each once, and columns of longs. ``asks(bytes, offsets)`` gives the keys that a slice needs and the row of each,
+    all word hashes unless told otherwise. keys and values, an array for each of those columns, are the chunk's part of the vocabulary,
+    sorted by key as unsigned numbers; keys that it doesn't have are missing there.
     """
+    told = [c for c in vocabulary.columns if c != "key"]
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-total // CHUNK_BYTES))
     dealt = docs.select(*keep, "text").withColumn("chunk", F.pmod(F.xxhash64(*keep, "text"), F.lit(chunks)).cast("int")).repartition("chunk")
@@ -113,22 +114,27 @@ def by_chunk(docs: DataFrame, vocabulary: DataFrame, keep: list[str], score: Cal
 
     # both uses of ``dealt`` read all its columns, so that Spark shuffles it once and reuses the exchange
     wanted = dealt.mapInArrow(asked, "chunk int, key long").distinct()
-    answers = wanted.join(vocabulary, "key").select("chunk", "key", "n")
+    answers = wanted.join(vocabulary, "key").select("chunk", "key", *told)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         keys = right.column("key").to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(keys)
-        keys, values = keys[order], right.column("n").to_numpy()[order]
+        keys, values = keys[order], [right.column(c).to_numpy()[order] for c in told]
         parts = []
         for lo, hi, buf, offs in slices(left.column("text")):
-            parts.append(score(left.slice(lo, hi - lo), buf, offs, keys, values))
+            parts.append(score(left.slice(lo, hi - lo), buf, offs, keys, *values))
         return pa.concat_tables(parts)
 
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 
 
-def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: int = 0) -> np.ndarray:
+def placed(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Each wanted key's index in sorted keys, their number where it is missing."""
     if not len(keys):
-        return np.full(len(wanted), missing, dtype=np.int64)
+        return np.zeros(len(wanted), dtype=np.int64)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], missing)
+    return np.where(keys[at] == wanted, at, len(keys))
+
+
+def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: int = 0) -> np.ndarray:
+    return np.append(values, missing)[placed(keys, wanted)]
