@@ -67,6 +67,34 @@ def test_edited_passages_are_found(spark):
     assert len(found) >= 0.9 * n and all(d % 2 for d in found)
 
 
+def test_edited_passages_are_found_though_older_documents_hold_their_parts(spark):
+    data, pairs, i = [], [], 0
+    for case in range(60):
+        rng = np.random.default_rng(4000 + case)
+        p = prose(5000 + case, 90)
+        q = list(p)
+        for at in rng.choice(90, 6, replace=False):
+            q[at] = f"edit{case}x{at}"
+        parts = [[p[:45], p[45:]], [p[:30], p[30:60], p[60:]], [p[22:68]]][case % 3]
+        for words in (*parts, p, q):
+            data.append((i, " ".join(prose(6000 + i, 25) + words + prose(9000 + i, 30))))
+            i += 1
+        pairs.append((i - 1, i - 2))
+    found = passages.repeated_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    got = {(r.doc_id, r.anchor_id) for r in found if r.end_word - r.start_word >= 60}
+    assert len(got & set(pairs)) >= 0.95 * len(pairs)
+
+
+def test_all_but_the_first_of_a_large_group_meet_more_than_the_anchor(spark, monkeypatch):
+    monkeypatch.setattr(passages, "GROUP", 2)
+    p = prose(1, 90)
+    q = [f"edit{i}" if i % 15 == 7 else w for i, w in enumerate(p)]
+    data = [(i, " ".join(prose(3000 + i, 30) + p[30:60] + prose(4000 + i, 30))) for i in range(9)]
+    data += [(20, " ".join(prose(1, 90))), (21, " ".join(prose(8, 20) + q + prose(9, 20)))]
+    found = passages.repeated_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert any((r.doc_id, r.anchor_id) == (21, 20) and r.end_word - r.start_word >= 60 for r in found)
+
+
 def test_hot_passages_split_into_parts_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(passages, "HOT_ROWS", 20)
     p = prose(1, 60)
