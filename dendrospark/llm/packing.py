@@ -37,31 +37,47 @@ SEQ_LEN = 4096
 END_ID = 2
 #: Distinct words that a worker keeps the ids of; beyond it starts anew.
 CACHED_WORDS = 3_000_000
+#: Words of letters that are encoded as one text.
+BATCH_WORDS = 256
 
 
-def _plain_words(buf: np.ndarray, offs: np.ndarray, special: list[tuple[int, int]]) -> tuple[np.ndarray, Words]:
-    """Words cut down to fewer distinct ones with the same ids: ASCII words in lower case, as the tokenizer has no other, and
-    a full stop or comma after an ASCII letter as a word of its own, as the tokenizer's pattern splits there.
-    A word that may hold a special token, whose first two bytes are in ``special``, stays as it is."""
+#: Kinds of bytes in plain words: letters (those from U+00C0 to U+00FF are 0xC3 and a second byte), digits, the rest.
+_KIND = np.full(256, 3, dtype=np.uint8)
+_KIND[[*range(65, 91), *range(97, 123), *range(0x80, 0x100)]] = 1
+_KIND[48:58] = 2
+
+
+def _plain_words(buf: np.ndarray, offs: np.ndarray, special: list[tuple[int, int]]) -> tuple[np.ndarray, Words, np.ndarray]:
+    """Words cut down to fewer distinct ones with the same ids, and which of them are lower-case letters only.
+
+    A plain word has printable ASCII and letters from U+00C0 to U+00FF only.  It is put in lower case, as the tokenizer has no other, and cut where letters,
+    digits and other characters meet and between digits, as the tokenizer's pattern splits there, but for letters after an apostrophe.
+    A word that may hold a special token, whose first two bytes are in ``special``, stays as it is, and so do all words that are not plain.
+    """
     w = words(buf, offs, lower=False, hashed=False)
-    as_is = buf >= 128
+    second = np.zeros(len(buf), dtype=bool)
+    second[1:] = buf[:-1] == 0xC3
+    odd = (buf < 33) | (buf == 127) | ((buf >= 128) & (buf != 0xC3) & ~second) | (second & ((buf == 0x97) | (buf == 0xB7)))
     for one, two in special:
-        as_is[:-1] |= (buf[:-1] == one) & (buf[1:] == two)
-    wide = np.concatenate([[0], np.cumsum(as_is)])
-    ascii_ = wide[w.end] == wide[w.start]
-    fold = np.zeros(len(buf) + 1, dtype=np.int8)
-    fold[w.start[ascii_]] += 1
-    fold[w.end[ascii_]] -= 1
-    upper = (np.cumsum(fold)[:-1] > 0) & (buf >= 65) & (buf <= 90)
+        odd[:-1] |= (buf[:-1] == one) & (buf[1:] == two)
+    count = np.concatenate([[0], np.cumsum(odd)])
+    is_plain = count[w.end] == count[w.start]
+    edge = np.zeros(len(buf) + 1, dtype=np.int8)
+    edge[w.start[is_plain]] += 1
+    edge[w.end[is_plain]] -= 1
+    plain = np.cumsum(edge, dtype=np.int8)[:-1] > 0
+    upper = plain & (((buf >= 65) & (buf <= 90)) | (second & (buf >= 0x80) & (buf <= 0x9E)))
     buf = np.where(upper, buf + 32, buf).astype(np.uint8)
-    last, before = buf[w.end - 1], buf[np.maximum(w.end - 2, 0)] | 32
-    split = ((last == 46) | (last == 44)) & (w.end - w.start > 1) & (before >= 97) & (before <= 122) & ascii_
-    at = np.flatnonzero(split)
-    start = np.insert(w.start, at + 1, w.end[at] - 1)
-    end = np.insert(np.where(split, w.end - 1, w.end), at + 1, w.end[at])
-    first = w.first + np.concatenate([[0], np.cumsum(split)])[w.first]
+    kind = _KIND[buf]
+    cut = plain[1:] & plain[:-1] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & ~((buf[:-1] == 39) & (kind[1:] == 1))
+    begins, ends = np.zeros(len(buf) + 1, dtype=bool), np.zeros(len(buf) + 1, dtype=bool)
+    begins[w.start] = ends[w.end] = True
+    begins[1:-1] |= cut
+    ends[1:-1] |= cut
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends)
+    first = np.searchsorted(start, offs, "left")
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-    return buf, Words(doc, start, end, span_hashes(buf, start, end), first)
+    return buf, Words(doc, start, end, span_hashes(buf, start, end), first), plain[start] & (kind[start] == 1)
 
 
 class WordTokens:
@@ -72,9 +88,18 @@ class WordTokens:
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        # the same model behind white space only, for words of lower-case letters, which the rest of the tokenizer leaves alone
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        vocabulary = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         # special tokens in a text get their own ids, as the library's call gives them
         added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         if any(len(t) < 2 or any(b in b" \t\n\x0b\x0c\r" for b in t) for t in added):
@@ -88,27 +113,52 @@ class WordTokens:
         self.size = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint16)
 
-    def learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint16, int(size.sum()))
+    def learn(self, keys: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
         at = len(self.flat) + np.concatenate([[0], np.cumsum(size)[:-1]])
         all_keys = np.concatenate([self.keys, keys])
         order = np.argsort(all_keys, kind="stable")
         self.keys, self.at, self.size = all_keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
         self.flat = np.concatenate([self.flat, flat])
 
+    def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some words, and how many each has."""
+        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((i for x in ids for i in x), np.uint16, int(size.sum())), size
+
+    def ids_of_letters(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words of lower-case letters, many at once: an id with the suffix of word ends closes each."""
+        size = end - start + 1
+        begin = np.concatenate([[0], np.cumsum(size)])
+        joined = np.full(begin[-1], 32, dtype=np.uint8)
+        inner = np.arange(begin[-1]) - np.repeat(begin[:-1], size)
+        here = inner < np.repeat(size - 1, size)
+        joined[here] = buf[(np.repeat(start, size) + inner)[here]]
+        raw = joined.tobytes()
+        at = begin[:: BATCH_WORDS].tolist()
+        texts = [raw[a:b].decode("utf-8") for a, b in zip(at, [*at[1:], len(raw)], strict=True)]
+        found = [np.array(e.ids, dtype=np.uint16) for e in self.letters.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate([np.zeros(0, np.uint16), *found])
+        last = np.flatnonzero(self.ends[flat])
+        if len(last) != len(start):
+            return self.ids_of([raw[a : b - 1].decode("utf-8") for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)])
+        return flat, np.diff(np.concatenate([[-1], last]))
+
     def encode(self, buf: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each row's followed by end_id, and each row's first."""
-        buf, w = _plain_words(buf, offs, self.special)
+        buf, w, letters = _plain_words(buf, offs, self.special)
         uniq, some, which = np.unique(w.hash, return_index=True, return_inverse=True)
         if len(self.keys) + len(uniq) > CACHED_WORDS:
             self.forget()
         i = np.minimum(np.searchsorted(self.keys, uniq), max(len(self.keys) - 1, 0))
         new = self.keys[i] != uniq if len(self.keys) else np.ones(len(uniq), bool)
         if new.any():
-            raw = buf.tobytes()
-            self.learn(uniq[new], [raw[a:b].decode("utf-8") for a, b in zip(w.start[some[new]].tolist(), w.end[some[new]].tolist(), strict=True)])
+            easy, hard = some[new & letters[some]], some[new & ~letters[some]]
+            if len(easy):
+                self.learn(w.hash[easy], *self.ids_of_letters(buf, w.start[easy], w.end[easy]))
+            if len(hard):
+                raw = buf.tobytes()
+                self.learn(w.hash[hard], *self.ids_of([raw[a:b].decode("utf-8") for a, b in zip(w.start[hard].tolist(), w.end[hard].tolist(), strict=True)]))
         i = np.searchsorted(self.keys, uniq)
         at, size = self.at[i][which], self.size[i][which]
         n = len(offs) - 1

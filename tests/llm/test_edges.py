@@ -38,6 +38,23 @@ def test_packing_gives_special_tokens_their_ids(spark):
         assert ids.tolist() == [*tok.encode(t, add_special_tokens=False).ids, 2]
 
 
+def test_packing_cuts_words_where_the_tokenizer_does():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, words = Tokenizer.from_file(path), packing.WordTokens(path)
+    rng = np.random.default_rng(5)
+    signs = [*"abzEST019.,!'$&<|>-_\x01\x1c\x7f \n", "é", "É", "ß", "×", "÷", "Þ", "ÿ", "e\u0301", "J\u030c", "\u0338", "K", "İ", "Σ", "\u00a0", "\u0085", "中", "٣", "²", "<|endoftext|>", "'s", "'ll", "'T", "😀"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 14))) for _ in range(6000)] + ["don't 'tis x'S 1'2 a1b22 É\u0301a", ""]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    ids, first = words.encode(raw, offs, 2)
+    for t, a, b in zip(texts, first[:-1], first[1:], strict=True):
+        assert ids[a:b].tolist() == [*tok.encode(t, add_special_tokens=False).ids, 2], t
+    words.forget()
+    raw = np.frombuffer(b"Stop stop$$$ stop!! stop12 (stop)", np.uint8)
+    words.encode(raw, np.array([0, len(raw)]), 2)
+    assert len(words.keys) == 7
+
+
 def test_packing_follows_given_targets(spark):
     rows = [(i, " ".join(prose(i, 60)), "ab"[i % 2]) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
