@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import cut, drop
-from .textkit import slices, span_hashes, words
+from .textkit import SLICE_BYTES, slices, span_hashes, words
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
+#: Bytes of text that the fit works on at a time.
+FIT_SLICE = 1 << 18
 
 
 @dataclass
@@ -85,9 +87,9 @@ class Bags:
         return self.ids[at], self.coef[at], np.repeat(np.arange(len(pick)), many)
 
 
-def _weighted(texts: pa.Array, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _weighted(texts: pa.Array, buckets: int, limit: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For every text its buckets and their weights in the mean over words of the mean over subwords."""
-    for lo, hi, buf, offs in slices(texts):
+    for lo, hi, buf, offs in slices(texts, limit):
         w = words(buf, offs)
         _, some, which = np.unique(w.hash, return_index=True, return_inverse=True)
         grams, first = subwords(buf, w.start[some], w.end[some], buckets)
@@ -100,25 +102,33 @@ def _weighted(texts: pa.Array, buckets: int) -> Iterator[tuple[np.ndarray, np.nd
 
 
 def bags(texts: pa.Array, buckets: int, least_df: int = 3) -> Bags:
-    """The texts' bags without the buckets that fewer than least_df texts use; worked out twice, so that those are never held."""
+    """The texts' bags without the buckets that fewer than least_df texts use; worked out twice, so that those are never held.
+
+    Texts are taken in small slices, and the arrays have their size from the first pass: beside them only a slice's working space is held.
+    """
     df = np.zeros(buckets, np.int32)
-    for ids, _ in _weighted(texts, buckets):
+    for ids, _ in _weighted(texts, buckets, FIT_SLICE):
         df[ids] += 1
-    kept, size = [], [0]
-    for ids, coef in _weighted(texts, buckets):
-        keep = df[ids] >= least_df
-        kept.append((ids[keep], coef[keep]))
-        size.append(len(kept[-1][0]))
-    none = (np.zeros(0, np.int32), np.zeros(0, np.float32))
-    ids, coef = (np.concatenate(x) for x in zip(none, *kept, strict=True))
-    return Bags(ids, coef, np.cumsum(size))
+    keep = df >= least_df
+    total = int(df[keep].sum())
+    out = Bags(np.empty(total, np.int32), np.empty(total, np.float32), np.zeros(len(texts) + 1, np.int64))
+    at = 0
+    for r, (ids, coef) in enumerate(_weighted(texts, buckets, FIT_SLICE)):
+        some = keep[ids]
+        stop = at + int(some.sum())
+        out.ids[at:stop], out.coef[at:stop] = ids[some], coef[some]
+        out.first[r + 1] = at = stop
+    return out
 
 
 def train(docs: Bags, marks: np.ndarray, weights: np.ndarray, buckets: int = BUCKETS, dim: int = 8, epochs: int = 12, rate: float = 1.0, batch: int = 16, seed: int = 7) -> Model:
     """Adagrad. Buckets that no bag has stay at zero."""
     rng = np.random.default_rng(seed)
     model = Model(rng.normal(0, 0.1, (buckets, dim)).astype(np.float32), rng.normal(0, 0.3, (dim, 2)).astype(np.float32), np.zeros(2, np.float32))
-    model.emb[np.bincount(docs.ids, minlength=buckets) == 0] = 0
+    used = np.zeros(buckets, dtype=bool)
+    for lo in range(0, len(docs.ids), 1 << 20):
+        used[docs.ids[lo : lo + (1 << 20)]] = True
+    model.emb[~used] = 0
     g_emb, g_out, g_bias = np.full(buckets, 1e-6, np.float32), np.full((dim, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
     for _ in range(epochs):
         order = rng.permutation(len(marks))
@@ -174,7 +184,11 @@ def _fitted(share: float, positive_weight: float):
         # the sample's odds against the odds of all labelled rows
         n1, n0 = int((marks == 1).sum()), int((marks == 0).sum())
         weight = np.where(marks == 1, positive_weight * share / max(n1, 1), (1 - share) / max(n0, 1)) * len(marks)
-        model = train(bags(rows.column("text").combine_chunks(), BUCKETS), marks, weight)
+        texts = rows.column("text").combine_chunks()
+        del rows
+        held = bags(texts, BUCKETS)
+        del texts
+        model = train(held, marks, weight)
         yield pa.RecordBatch.from_arrays([pa.array([model.unit().astype("<f8").tobytes()], pa.binary()), pa.array([float(model.bias[1] - model.bias[0])])], ["unit", "bias"])
 
     return run

@@ -1,11 +1,14 @@
 """Cases beside the common fixture: shuffled inputs, clashing names, special tokens, hot keys, empty tables."""
 
+import tracemalloc
+
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from dendrospark.llm import packing, passages, quality, secrets, skew, topk, warc
+from dendrospark.llm import packing, passages, quality, secrets, skew, topk, toxicity, warc
 
 
 def prose(seed, n):
@@ -64,6 +67,18 @@ def test_packing_follows_given_targets(spark):
     assert abs(share - 0.75) < 0.03 and pieces.length.sum() == pieces.groupby("doc_id").doc_tokens.first().sum()
 
 
+def test_the_fit_holds_its_bags_and_little_more():
+    rng = np.random.default_rng(2)
+    texts = pa.array([" ".join(f"{a:x}" for a in rng.integers(1 << 24, 1 << 32, 900)) for _ in range(600)])
+    tracemalloc.start()
+    held = toxicity.bags(texts, toxicity.BUCKETS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    size = held.ids.nbytes + held.coef.nbytes
+    assert len(held.first) == 601 and held.first[-1] == len(held.ids) and size > 30 << 20
+    assert peak < size + (128 << 20), peak - size
+
+
 def test_two_documents_share_what_older_ones_have_in_halves(spark):
     p = prose(1, 70)
     data = {1: prose(2, 20) + p[:35] + prose(3, 20), 2: prose(4, 20) + p[35:] + prose(5, 20), 3: prose(6, 20) + p + prose(7, 20), 4: prose(8, 9) + p + prose(9, 30)}
