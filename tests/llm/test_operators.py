@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from dendrospark.llm import bpe, minhash, packing, passages, quality, secrets, suffixtree, topk, toxicity, warc
+from dendrospark.llm import bpe, dictionary, minhash, packing, passages, quality, secrets, suffixtree, topk, toxicity, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -318,6 +318,44 @@ def test_suffix_tree_grows_with_the_corpus(spark):
     assert 3 <= sizes[0] <= sizes[1] < sizes[2]
 
 
+def test_suffix_tree_describes_a_run_once(spark, monkeypatch):
+    """A frequent run comes from one of the tasks that have it, and is found again where the texts are dealt otherwise."""
+    texts = [(f"alpha beta gamma delta x{i} y{i % 7} z{i % 5}",) for i in range(240)]
+    train = spark.createDataFrame(texts, "text string").repartition(8).localCheckpoint()
+    made, described = [], suffixtree._described
+
+    def noted(*args):
+        out = described(*args).localCheckpoint()
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(suffixtree, "_described", noted)
+    tree = suffixtree.fit(train, least=20)
+    want = Counter(t for (x,) in texts for d in (2, 3, 4) for r in [[*x.split(), "\n"]] for t in zip(*(r[i:] for i in range(d)), strict=False))
+    runs = sum(n >= 20 for n in want.values())
+    assert runs > 8 and len(made) == 1 and runs <= made[0] <= runs + 4
+    kept = sorted(tree.entries.collect())
+    monkeypatch.setattr(suffixtree, "own_key", lambda keys, task: dictionary.own_key(keys, task + 100))
+    assert sorted(suffixtree.fit(train, least=20).entries.collect()) == kept and len(made) == 3
+
+
+def test_keys_travel_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    keys = np.sort(rng.integers(0, 2**64, 50000, dtype=np.uint64))
+    n, signed = np.where(rng.random(50000) < 0.1, 7, 1), rng.integers(-(2**62), 2**62, 50000)
+    assert len(dictionary.packed(keys, n)) < 8 * len(keys)
+    for some in (keys, keys[:1], keys[:0]):
+        got = dictionary.unpacked(dictionary.packed(some, n[: len(some)], signed[: len(some)]), 2)
+        assert all(np.array_equal(a, b) for a, b in zip(got, (some, n[: len(some)], signed[: len(some)]), strict=True))
+        wanted = np.concatenate([keys[::-7], rng.integers(0, 2**64, 999, dtype=np.uint64), np.array([0, 2**64 - 1], dtype=np.uint64)])
+        assert np.array_equal(dictionary.Index(some)(wanted), dictionary.placed(some, wanted))
+    words = Counter(x for _, t, *_ in rows() for x in toks(t))
+    docs = spark.createDataFrame([(t,) for _, t, *_ in rows()], "text string").repartition(5)
+    for least in (1, 3):
+        got = dictionary.tallied(docs, dictionary.word_keys, least=least).collect()
+        assert sorted(r.n for r in got) == sorted(n for n in words.values() if n >= least) and len({r.key for r in got}) == len(got)
+
+
 def test_passages_are_found_and_cut(docs, none):
     found = passages.repeated_passages(docs).collect()
     texts = {i: toks(t) for i, t, *_ in rows()}
