@@ -1,7 +1,9 @@
 """Byte-level BPE of whole texts: ranked merges folded by Spark's higher-order functions over distinct words.
 
 A task splits its texts by the tokenizer's pattern, once, into *chunks* of bounded size: the chunk's distinct words and, for each text,
-the places of its words among them.  Only these travel, compressed; no text does.  The words of all chunks are sorted together, the fold
+the places of its words among them.  The pattern ``RUNS`` is followed on arrays of a slice's code points, where its
+words are told apart by hash and compared byte by byte; any other pattern, and a very long text, goes through ``regex``.
+Only the words and places travel, compressed; no text does.  The words of all chunks are sorted together, the fold
 runs on the first of equal words, and every chunk gets the ids of its own words back, to put its documents together.  So a word is
 folded once however many chunks hold it, no occurrence is shuffled and no vocabulary is broadcast.
 
@@ -33,9 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dictionary import begins_of
+from .textkit import slices, span_hashes
+
 LONG_WORD = 512
 WHOLE_ROWS = 1 << 16
-#: A chunk ends with the text that takes it over either number.
+#: A chunk ends once it is found over either number.
 CHUNK_WORDS, CHUNK_PLACES = 500_000, 16_000_000
 #: Words that a task holds before it hands their ids on.
 HELD = 1 << 20
@@ -44,6 +49,14 @@ LONG_TEXT = 1 << 20
 #: Ranks are below 2**BITS; 2**BITS - 1 stands beyond a word's ends.
 BITS = 17
 EDGE = (1 << BITS) - 1
+#: A piece's first byte is below 2**AT_BITS.
+AT_BITS = 10
+LOOK_BYTES = 1 << 18
+#: Words, distinct in what was looked at in one go, that wait to be numbered.
+MERGED = 1 << 18
+#: The pattern that ``cut_words`` follows.
+RUNS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPACE, LETTER, NUMBER, OTHER = range(4)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -114,7 +127,7 @@ def encode_column(word: Column, path: str) -> Column:
 
 
 def _encode(word: Column, table: Column, buckets: int, size: int) -> Column:
-    none = 1 << BITS
+    none, ahead = 1 << BITS, F.lit(1 << BITS + AT_BITS).cast("long")
 
     def rank(a: Column, b: Column) -> Column:
         """The pair's rank, or something from 2**BITS on: what is in its slot less what it would be at rank 0."""
@@ -122,34 +135,37 @@ def _encode(word: Column, table: Column, buckets: int, size: int) -> Column:
         at = number % F.lit(size) + F.get(table["shift"], (number % F.lit(buckets)).cast("int"))
         return F.least(F.pmod(F.get(table["slots"], at.cast("int")) - number * F.lit(none), F.lit(1 << 3 * BITS)), F.lit(none))
 
-    def piece(rank_after: Column, number: Column) -> Column:
-        """A piece with the rank of its pair with the next one, in one number."""
-        return rank_after * F.lit(none) + number
+    def tail(number: Column) -> Column:
+        return number.bitwiseAND((1 << BITS + AT_BITS) - 1)
 
     def step(e: Column, _: Column) -> Column:
-        """e: pieces between two edges; only the ranks beside a merge are looked up again."""
+        """e: pieces between two edges; only the ranks beside a merge are looked up again.
+
+        A piece is one number: the rank of its pair with the next one, its first byte and its id.  Equal ranks may come from
+        different pairs: the least number is the leftmost.
+        """
 
         def merged(low: Column) -> Column:
-            least = F.shiftright(low, BITS)
+            least = F.shiftright(low, BITS + AT_BITS)
 
             def put(at: Column) -> Column:
-                left, right = F.element_at(e, at - 1).bitwiseAND(EDGE), F.element_at(e, at + 2).bitwiseAND(EDGE)
-                new = F.array(piece(rank(left, least), left), piece(rank(least, right), least))
-                return F.concat(F.slice(e, F.lit(1), at - 2), new, F.slice(e, at + 2, F.size(e)))
+                def new(left: Column) -> Column:
+                    right = F.element_at(e, at + 2).bitwiseAND(EDGE)
+                    pair = F.array(rank(left.bitwiseAND(EDGE), least) * ahead + tail(left), rank(least, right) * ahead + tail(low) - low.bitwiseAND(EDGE) + least)
+                    return F.concat(F.slice(e, F.lit(1), at - 2), pair, F.slice(e, at + 2, F.size(e)))
 
-            # equal ranks may come from different pairs: the leftmost goes first
-            first = F.array_position(F.transform(e, lambda x: F.shiftright(x, BITS)), least).cast("int")
-            return F.when(least < none, _bind(first, put)).otherwise(e)
+                return _bind(F.element_at(e, at - 1), new)
+
+            return F.when(least < none, _bind(F.array_position(e, low).cast("int"), put)).otherwise(e)
 
         return _bind(F.array_min(e), merged)
 
     def fold(code: Column) -> Column:
         """The bytes' numbers to ids."""
-        n = F.size(code)
-        edge = F.array(F.lit((none << BITS) + EDGE).cast("long"))
-        after = F.concat(F.slice(code, F.lit(2), n), F.array(F.lit(None).cast("int")))
-        ids = F.zip_with(code, after, lambda a, b: piece(F.coalesce(F.get(table["two"], a * 256 + b), F.lit(none)).cast("long"), F.get(table["one"], a)))
-        done = F.aggregate(F.sequence(F.lit(1), n), F.concat(edge, ids, edge), step)
+        edge = F.array((ahead * none + EDGE).cast("long"))
+        pair = lambda a, i: F.coalesce(F.get(table["two"], a * 256 + F.get(code, i + 1)), F.lit(none))
+        ids = F.transform(code, lambda a, i: pair(a, i) * ahead + i * F.lit(none) + F.get(table["one"], a))
+        done = F.aggregate(F.slice(code, F.lit(2), F.size(code)), F.concat(edge, ids, edge), step)
         return F.transform(F.slice(done, F.lit(2), F.size(done) - 2), lambda x: x.bitwiseAND(EDGE).cast("int"))
 
     code = F.transform(F.split(F.decode(word, "ISO-8859-1"), F.lit("")), lambda c: F.ascii(c))
@@ -184,12 +200,11 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def _joined(words: list[bytes]) -> bytes:
+def _joined(buf: np.ndarray, size: np.ndarray) -> bytes:
     """Words with their lengths, in one compressed string."""
     import zstandard
 
-    sizes = np.array([len(words), *map(len, words)], dtype="<u4")
-    return zstandard.ZstdCompressor(level=3).compress(sizes.tobytes() + b"".join(words))
+    return zstandard.ZstdCompressor(level=3).compress(np.concatenate([[len(size)], size]).astype("<u4").tobytes() + buf.tobytes())
 
 
 def _parted(packed: bytes) -> tuple[bytes, np.ndarray]:
@@ -204,6 +219,118 @@ def _parted(packed: bytes) -> tuple[bytes, np.ndarray]:
 CHUNKS = "chunk long, doc_id array<long>, n_words array<long>, places binary, words binary"
 
 
+@functools.cache
+def _kinds() -> np.ndarray:
+    """SPACE, LETTER, NUMBER or OTHER by code point, as the pattern's classes have them."""
+    import regex
+
+    out = np.full(0x110000, OTHER, dtype=np.uint8)
+    for first, stop in ((0, 0xD800), (0xE000, 0x110000)):
+        every = "".join(map(chr, range(first, stop)))
+        for kind, of in ((SPACE, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+            for m in regex.finditer(of, every):
+                out[first + m.start() : first + m.end()] = kind
+    return out
+
+
+def cut_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the matches of ``RUNS`` begin in the rows' bytes, and each row's first match; both with the end after the last.
+
+    A match is a run of one kind, with the space before it.  Of white space before something else the last character stands alone, and
+    is that space if it is one.  An apostrophe that begins a match takes the letters of its contraction from the run after it.
+    """
+    if (buf < 128).all():
+        point, lead = buf, None
+    else:
+        point = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), "<u4")
+        lead = np.flatnonzero((buf & 0xC0) != 0x80)
+        offs = np.searchsorted(lead, offs)
+    n = len(point)
+    kind = _kinds()[point]
+    head = np.zeros(n + 3, dtype=bool)
+    head[offs] = True
+    space, other = kind == SPACE, np.zeros(n + 3, dtype=bool)
+    last = space.copy()
+    last[:-1] &= ~space[1:]
+    last &= ~head[1 : n + 1]
+    begins = np.zeros(n + 3, dtype=bool)
+    begins[1:n] = (kind[1:] != kind[:-1]) & (point[:-1] != 32)
+    begins[:n] |= last
+    begins |= head
+    other[:n] = point == 39
+    at = np.flatnonzero(other & begins)
+    if len(at):
+        padded = np.concatenate([point, np.zeros(3, point.dtype)])
+        # a letter beyond the row's end is none of it
+        one = np.where(head[at + 1], 0, padded[at + 1])
+        two = np.where(head[at + 1] | head[at + 2], 0, padded[at + 2])
+        size = np.where(np.isin(one, [ord(c) for c in "stmd"]), 2, 0)
+        for a, b in ("re", "ve", "ll"):
+            size[(one == ord(a)) & (two == ord(b))] = 3
+        at, size = at[size > 0], size[size > 0]
+        begins[at + 1] = False
+        begins[at + size] = True
+    start = np.flatnonzero(begins[: n + 1])
+    first = np.searchsorted(start, offs)
+    return (start if lead is None else np.append(lead, len(buf))[start]), first
+
+
+def _bytes_of(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The words' bytes, one after the other."""
+    return buf[np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)]
+
+
+def _groups(buf: np.ndarray, start: np.ndarray, size: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of equal words each, and every word's index among those; words follow each other in ``buf``."""
+    order = np.argsort(hashes)
+    begins = begins_of(hashes[order])
+    group = np.empty(len(order), dtype=np.int64)
+    group[order] = np.repeat(np.arange(len(begins)), np.diff(begins, append=len(order)))
+    one = np.minimum.reduceat(order, begins) if len(order) else order
+    like = one[group]
+    if (size != size[like]).any() or (buf != buf[np.arange(len(buf)) + np.repeat(start[like] - start, size)]).any():
+        # two words share a hash
+        raw, seen = buf.tobytes(), {}
+        group = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(start.tolist(), (start + size).tolist(), strict=True)])
+        one = np.unique(group, return_index=True)[1]
+    return one, group
+
+
+class Numbers:
+    """Distinct words, numbered as they come, and the numbers of all words in ``places``."""
+
+    def __init__(self) -> None:
+        self.buf, self.size, self.hash = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.places: list[np.ndarray] = []
+        self.held = self.unmerged = 0
+
+    def add(self, buf: np.ndarray, size: np.ndarray) -> None:
+        """Words that follow each other in ``buf``."""
+        start = np.cumsum(size) - size
+        hashes = span_hashes(buf, start, start + size)
+        one, group = _groups(buf, start, size, hashes)
+        self.waiting.append((_bytes_of(buf, start[one], size[one]), size[one], hashes[one], group.astype("<u4")))
+        self.held += len(size)
+        self.unmerged += len(one)
+        if self.unmerged > MERGED:
+            self.merge()
+
+    def merge(self) -> None:
+        buf, size, hashes = (np.concatenate([x, *(w[i] for w in self.waiting)]) for i, x in enumerate((self.buf, self.size, self.hash)))
+        start, at = np.cumsum(size) - size, len(self.size)
+        one, group = _groups(buf, start, size, hashes)
+        kept = np.sort(one)
+        number = np.empty(len(size), dtype="<u4")
+        number[kept] = np.arange(len(kept))
+        number = number[one[group]]
+        for _, mine, _, where in self.waiting:
+            self.places.append(number[at : at + len(mine)][where])
+            at += len(mine)
+        self.buf, self.size, self.hash = _bytes_of(buf, start[kept], size[kept]), size[kept], hashes[kept]
+        self.waiting, self.unmerged = [], 0
+
+
 def _split(pattern: str):
     """(doc_id, text) to chunks: documents, the compressed places of their words, and the compressed distinct words."""
 
@@ -213,16 +340,14 @@ def _split(pattern: str):
 
         split = regex.compile(pattern)
         part, made = TaskContext.get().partitionId(), 0
-        known: dict[str, int] = {}
-        put = known.setdefault
+        known = Numbers()
         docs: list[int | None] = []
         sizes: list[int] = []
-        places: list[np.ndarray] = []
-        held = 0
 
         def out() -> pa.RecordBatch:
-            packed = _joined([w.encode() for w in known])
-            flat = np.concatenate([np.zeros(0, "<u4"), *places])
+            known.merge()
+            packed = _joined(known.buf, known.size)
+            flat = np.concatenate([np.zeros(0, "<u4"), *known.places])
             row = zstandard.ZstdCompressor(level=3).compress(flat.tobytes())
             # what a chunk holds is part of its name: one that a lost task deals otherwise meets no answers, which is an error
             seal = hashlib.sha256(b"%d %d " % (part, made) + packed + row).digest()
@@ -230,21 +355,30 @@ def _split(pattern: str):
             cols = [pa.array([chunk], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([row], pa.binary()), pa.array([packed], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, ["chunk", "doc_id", "n_words", "places", "words"])
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text, n = text.as_py() or "", 0
-                # a very long text's words are never all held
-                found = iter(split.findall(text)) if len(text) < LONG_TEXT else (m.group() for m in split.finditer(text))
-                while block := [put(w, len(known)) for w in islice(found, BLOCK)]:
-                    places.append(np.array(block, dtype="<u4"))
+        def one_by_one(buf: np.ndarray, offs: np.ndarray) -> list[int]:
+            """The numbers of words of each row in turn; of a very long text they are never all held."""
+            many = []
+            for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+                found, n = (m.group().encode() for m in split.finditer(buf[a:b].tobytes().decode())), 0
+                while block := list(islice(found, BLOCK)):
+                    known.add(np.frombuffer(b"".join(block), np.uint8), np.array([len(w) for w in block]))
                     n += len(block)
-                docs.append(doc)
-                sizes.append(n)
-                held += n
-                if len(known) > CHUNK_WORDS or held > CHUNK_PLACES:
+                many.append(n)
+            return many
+
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for lo, hi, buf, offs in slices(batch.column(1), LOOK_BYTES):
+                if pattern == RUNS and 0 < len(buf) < LONG_TEXT:
+                    start, first = cut_words(buf, offs)
+                    known.add(buf, np.diff(start))
+                    sizes += np.diff(first).tolist()
+                else:
+                    sizes += one_by_one(buf, offs)
+                docs += ids[lo:hi]
+                if len(known.size) > CHUNK_WORDS or known.held > CHUNK_PLACES:
                     yield out()
-                    known, docs, sizes, places, held, made = {}, [], [], [], 0, made + 1
-                    put = known.setdefault
+                    known, docs, sizes, made = Numbers(), [], [], made + 1
         if docs:
             yield out()
 
@@ -257,10 +391,11 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(4), strict=True):
             raw, first = _parted(packed.as_py())
             place = np.flatnonzero(np.diff(first) <= LONG_WORD)
+            words = pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(first.astype(np.int64)), pa.py_buffer(raw)])
             for lo in range(0, len(place), BLOCK):
                 some = place[lo : lo + BLOCK]
-                word = [raw[a:b] for a, b in zip(first[some].tolist(), first[some + 1].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunk)), pa.array(some.astype(np.int32)), pa.array(word, pa.binary())], ["chunk", "place", "word"])
+                word = words.take(pa.array(some)).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunk)), pa.array(some.astype(np.int32)), word], ["chunk", "place", "word"])
 
 
 def _handed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,8 +456,11 @@ def _assembled(shared):
         decoded: list[bytes] = [b""] * n
 
         def put(place: int, ids: list[int]) -> None:
-            written[place], size[place] = " ".join([numbers[i] for i in ids]), len(ids)
-            decoded[place] = b"".join([pieces[i] for i in ids])
+            size[place] = len(ids)
+            if len(ids) == 1:
+                written[place], decoded[place] = numbers[ids[0]], pieces[ids[0]]
+            else:
+                written[place], decoded[place] = " ".join([numbers[i] for i in ids]), b"".join([pieces[i] for i in ids])
 
         for packed in right.column("answers"):
             got = np.frombuffer(plain.decompress(packed.as_py()), "<u4")
@@ -343,8 +481,8 @@ def _assembled(shared):
             a, b = hashlib.sha256(), hashlib.sha256()
             for lo in range(at, at + many, BLOCK):
                 some = places[lo : min(lo + BLOCK, at + many)].tolist()
-                a.update(((" " if lo > at else "") + " ".join([written[i] for i in some])).encode())
-                b.update(b"".join([decoded[i] for i in some]))
+                a.update(((" " if lo > at else "") + " ".join(map(written.__getitem__, some))).encode())
+                b.update(b"".join(map(decoded.__getitem__, some)))
             cols[0].append(int(size[places[at : at + many]].sum()))
             cols[1].append(a.hexdigest())
             cols[2].append(b.hexdigest())
