@@ -23,7 +23,7 @@ def _covariates(cds: CellDataset, formulas: list[str]) -> pd.DataFrame:
     missing = [n for n in names if n not in cds.cells.columns]
     if missing:
         raise ValueError(f"not columns of cells: {missing}")
-    frame = cds.cells.select("cell_id", "size_factor", *names).orderBy("cell_id").limit(MOST_CELLS + 1).toPandas()
+    frame = cds.cells.select("cell_id", "size_factor", *names).limit(MOST_CELLS + 1).orderBy("cell_id").toPandas()
     if len(frame) > MOST_CELLS:
         raise ValueError("more cells than a broadcast design may have")
     for n in names:

@@ -108,7 +108,7 @@ def floored(value: str, least: float) -> Column:
 def _expectation(cds: CellDataset, formula: str, name: str) -> DataFrame:
     """cell_id, gene_id, and the fitted value at every cell."""
     terms = formula_terms(formula)
-    cells = cds.cells.select("cell_id", *terms).orderBy("cell_id").limit(models.MOST_CELLS + 1).toPandas()
+    cells = cds.cells.select("cell_id", *terms).limit(models.MOST_CELLS + 1).orderBy("cell_id").toPandas()
     if len(cells) > models.MOST_CELLS:
         raise ValueError("more cells than a broadcast design may have")
     kind = cds.cells.schema["cell_id"].dataType.simpleString()

@@ -67,7 +67,7 @@ def residuals(x: DataFrame, cells: DataFrame, formula: str) -> DataFrame:
     The coefficients need each gene's products with the design's columns, one aggregate; the design of the cells is joined by cell_id.
     """
     names = formula_terms(formula)
-    frame = cells.select("cell_id", *names).orderBy("cell_id").limit(models.MOST_CELLS + 1).toPandas()
+    frame = cells.select("cell_id", *names).limit(models.MOST_CELLS + 1).orderBy("cell_id").toPandas()
     if len(frame) > models.MOST_CELLS:
         raise ValueError("more cells than a broadcast design may have")
     design = np.asarray(Design(formula).matrix(frame), dtype=float)

@@ -224,6 +224,16 @@ def test_families():
         family_from_name("uninormal", lower=1)
 
 
+def test_a_large_limit_of_cells_takes_no_memory(branching, monkeypatch):
+    cds = on_y(branching)
+    few = cds.genes.orderBy("gene_id").limit(1).select("gene_id")
+    monkeypatch.setattr(models, "MOST_CELLS", 10**9)
+    assert plots.genes_in_pseudotime(cds, few).count() == 90
+    monkeypatch.setattr(models, "MOST_CELLS", 89)
+    with pytest.raises(ValueError, match="more cells"):
+        plots.genes_in_pseudotime(cds, few)
+
+
 def test_plot_frames(branching, ordered, spark):
     cds = on_y(branching)
     at = plots.trajectory_points(ordered, 90.0).toPandas().set_index("cell_id")
