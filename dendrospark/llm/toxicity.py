@@ -32,8 +32,8 @@ from .textkit import SLICE_BYTES, slices, span_hashes, words
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
-#: Bytes of text that the fit works on at a time.
-FIT_SLICE = 1 << 18
+#: Bytes of text that the fit and the scoring work on at a time.
+SMALL_SLICE = 1 << 18
 
 
 @dataclass
@@ -107,13 +107,13 @@ def bags(texts: pa.Array, buckets: int, least_df: int = 3) -> Bags:
     Texts are taken in small slices, and the arrays have their size from the first pass: beside them only a slice's working space is held.
     """
     df = np.zeros(buckets, np.int32)
-    for ids, _ in _weighted(texts, buckets, FIT_SLICE):
+    for ids, _ in _weighted(texts, buckets, SMALL_SLICE):
         df[ids] += 1
     keep = df >= least_df
     total = int(df[keep].sum())
     out = Bags(np.empty(total, np.int32), np.empty(total, np.float32), np.zeros(len(texts) + 1, np.int64))
     at = 0
-    for r, (ids, coef) in enumerate(_weighted(texts, buckets, FIT_SLICE)):
+    for r, (ids, coef) in enumerate(_weighted(texts, buckets, SMALL_SLICE)):
         some = keep[ids]
         stop = at + int(some.sum())
         out.ids[at:stop], out.coef[at:stop] = ids[some], coef[some]
@@ -206,15 +206,15 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = 250
 
 def _scores(column: pa.Array, unit: np.ndarray | None, bias: float, share: float) -> np.ndarray:
     out = []
-    for lo, hi, buf, offs in slices(column):
+    for lo, hi, buf, offs in slices(column, SMALL_SLICE):
         if unit is None:
             out.append(np.full(hi - lo, share))
             continue
         w = words(buf, offs)
         _, some, which = np.unique(w.hash, return_index=True, return_inverse=True)
         grams, first = subwords(buf, w.start[some], w.end[some], len(unit))
-        total = np.concatenate([[0.0], np.cumsum(unit[grams])])
-        worth = (total[first[1:]] - total[first[:-1]]) / np.maximum(1, np.diff(first))
+        # each word is summed by itself, so no score depends on the slice its text is in
+        worth = np.add.reduceat(unit[grams], first[:-1]) / np.diff(first)
         z = np.bincount(w.doc, weights=worth[which], minlength=hi - lo) / np.maximum(1, w.counts) + bias
         out.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
     return np.concatenate(out) if out else np.zeros(0)

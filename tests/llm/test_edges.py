@@ -79,6 +79,19 @@ def test_the_fit_holds_its_bags_and_little_more():
     assert peak < size + (128 << 20), peak - size
 
 
+def test_scoring_holds_little_and_no_score_depends_on_its_neighbours():
+    rng = np.random.default_rng(4)
+    texts = pa.array([" ".join(f"{a:x}" for a in rng.integers(1 << 24, 1 << 32, 900)) for _ in range(600)] + ["", None])
+    unit = rng.normal(0, 1, toxicity.BUCKETS)
+    alone = np.concatenate([toxicity._scores(texts[i : i + 1], unit, 0.1, 0.5) for i in range(len(texts))])
+    tracemalloc.start()
+    score = toxicity._scores(texts, unit, 0.1, 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (score == alone).all()
+    assert peak < 64 << 20, peak
+
+
 def test_two_documents_share_what_older_ones_have_in_halves(spark):
     p = prose(1, 70)
     data = {1: prose(2, 20) + p[:35] + prose(3, 20), 2: prose(4, 20) + p[35:] + prose(5, 20), 3: prose(6, 20) + p + prose(7, 20), 4: prose(8, 9) + p + prose(9, 30)}
