@@ -149,14 +149,18 @@ def _encode(word: Column, table: Column, buckets: int, size: int) -> Column:
             least = F.shiftright(low, BITS + AT_BITS)
 
             def put(at: Column) -> Column:
-                def new(left: Column) -> Column:
-                    right = F.element_at(e, at + 2).bitwiseAND(EDGE)
-                    pair = F.array(rank(left.bitwiseAND(EDGE), least) * ahead + tail(left), rank(least, right) * ahead + tail(low) - low.bitwiseAND(EDGE) + least)
-                    return F.concat(F.slice(e, F.lit(1), at - 2), pair, F.slice(e, at + 2, F.size(e)))
+                """at: the left neighbour's index from 0; then come the pair's two pieces and the right neighbour."""
+                right = F.element_at(e, at + 4).bitwiseAND(EDGE)
 
-                return _bind(F.element_at(e, at - 1), new)
+                def new(x: Column, i: Column) -> Column:
+                    beside = rank(x.bitwiseAND(EDGE), least) * ahead + tail(x)
+                    joined = rank(least, right) * ahead + tail(x) - x.bitwiseAND(EDGE) + least
+                    return F.when(i == at, beside).when(x == low, joined).otherwise(x)
 
-            return F.when(least < none, _bind(F.array_position(e, low).cast("int"), put)).otherwise(e)
+                # no piece but the pair's second has its number; one pass costs less than slices and their concatenation
+                return F.array_remove(F.transform(e, new), F.element_at(e, at + 3))
+
+            return F.when(least < none, _bind(F.array_position(e, low).cast("int") - 2, put)).otherwise(e)
 
         return _bind(F.array_min(e), merged)
 
@@ -275,9 +279,14 @@ def cut_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (start if lead is None else np.append(lead, len(buf))[start]), first
 
 
+def _at(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0]+1, ... size[0] numbers, then the same from first[1], and so on."""
+    return np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+
+
 def _bytes_of(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The words' bytes, one after the other."""
-    return buf[np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)]
+    return buf[_at(start, size)]
 
 
 def _groups(buf: np.ndarray, start: np.ndarray, size: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -416,7 +425,7 @@ def _handed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in zip(edge[:-1], edge[1:], strict=True):
             mine = order[lo:hi]
             n = size[mine]
-            ids = flat[np.repeat(begin[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            ids = flat[_at(begin[mine], n)]
             rows.append(press.compress(np.concatenate([[len(mine)], place[mine], n, ids]).astype("<u4").tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(chunk[order][edge[:-1]]), pa.array(rows, pa.binary())], ["chunk", "answers"])
 
@@ -441,6 +450,35 @@ def _handed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _by_id(tokens: dict[int, bytes]) -> pa.Array:
+    """Each id's bytes in its own place."""
+    return pa.array([tokens.get(i, b"") for i in range(max(tokens, default=-1) + 1)], pa.large_binary())
+
+
+def _words_of(tokens: pa.Array, flat: np.ndarray, first: np.ndarray) -> pa.Array:
+    """What the tokens of every word give when joined; ``first`` has one more entry than words."""
+    _, offs, data = tokens.take(pa.array(flat)).buffers()
+    offs = np.frombuffer(offs, np.int64, len(flat) + 1) if len(flat) else np.zeros(1, np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(offs[first]), data or pa.py_buffer(b"")])
+
+
+def _digests(words: pa.Array, places: np.ndarray, end: np.ndarray, spare: int) -> list[str]:
+    """SHA-256 of each document's words, joined, without the last ``spare`` bytes; a document's words end at ``end`` in ``places``."""
+    out = [hashlib.sha256() for _ in end]
+    begin = np.concatenate([[0], end[:-1]])
+    for lo in range(0, len(places), BLOCK):
+        some = places[lo : lo + BLOCK]
+        _, offs, data = words.take(pa.array(some)).buffers()
+        offs, view = np.frombuffer(offs, np.int64, len(some) + 1), memoryview(data)
+        # the documents with words here, among them empty ones
+        doc = np.arange(np.searchsorted(end, lo, "right"), np.searchsorted(begin, lo + len(some), "left"))
+        start, stop = np.maximum(begin[doc] - lo, 0), np.minimum(end[doc] - lo, len(some))
+        last = (end[doc] <= lo + len(some)) & (stop > start)
+        for d, x, y in zip(doc.tolist(), offs[start].tolist(), (offs[stop] - spare * last).tolist(), strict=True):
+            out[d].update(view[x:y])
+    return [h.hexdigest() for h in out]
+
+
 def _assembled(shared):
     """A chunk's documents from its places and the ids of its words."""
 
@@ -450,44 +488,30 @@ def _assembled(shared):
         ranks, pieces, numbers = shared.value
         plain = zstandard.ZstdDecompressor()
         raw, first = _parted(left.column("words")[0].as_py())
-        n = len(first) - 1
-        written: list[str | None] = [None] * n
-        size = np.zeros(n, dtype=np.int64)
-        decoded: list[bytes] = [b""] * n
-
-        def put(place: int, ids: list[int]) -> None:
-            size[place] = len(ids)
-            if len(ids) == 1:
-                written[place], decoded[place] = numbers[ids[0]], pieces[ids[0]]
-            else:
-                written[place], decoded[place] = " ".join([numbers[i] for i in ids]), b"".join([pieces[i] for i in ids])
-
+        size = np.zeros(len(first) - 1, dtype=np.int64)
+        parts = []
         for packed in right.column("answers"):
-            got = np.frombuffer(plain.decompress(packed.as_py()), "<u4")
+            got = np.frombuffer(plain.decompress(packed.as_py()), "<u4").astype(np.int64)
             m = int(got[0])
-            at, ids = 0, got[2 * m + 1 :].tolist()
-            for place, many in zip(got[1 : m + 1].tolist(), got[m + 1 : 2 * m + 1].tolist(), strict=True):
-                put(place, ids[at : at + many])
-                at += many
+            parts.append((got[1 : m + 1], got[m + 1 : 2 * m + 1], got[2 * m + 1 :]))
         for place in np.flatnonzero(np.diff(first) > LONG_WORD).tolist():
-            put(place, merge_long(raw[first[place] : first[place + 1]], ranks))
-        if None in written:
+            ids = np.array(merge_long(raw[first[place] : first[place + 1]], ranks))
+            parts.append((np.array([place]), np.array([len(ids)]), ids))
+        for place, many, _ in parts:
+            size[place] = many
+        if not size.all():
             raise ValueError("a chunk has words without ids: its rows were dealt differently when it was worked out again")
+        first = np.concatenate([[0], np.cumsum(size)])
+        flat = np.empty(first[-1], dtype=np.int64)
+        for place, many, ids in parts:
+            flat[_at(first[place], many)] = ids
+        del parts, raw
         places = np.frombuffer(plain.decompress(left.column("places")[0].as_py()), "<u4")
-        docs, sizes = left.column("doc_id")[0].as_py(), left.column("n_words")[0].as_py()
-        cols: list[list] = [[], [], []]
-        at = 0
-        for many in sizes:
-            a, b = hashlib.sha256(), hashlib.sha256()
-            for lo in range(at, at + many, BLOCK):
-                some = places[lo : min(lo + BLOCK, at + many)].tolist()
-                a.update(((" " if lo > at else "") + " ".join(map(written.__getitem__, some))).encode())
-                b.update(b"".join(map(decoded.__getitem__, some)))
-            cols[0].append(int(size[places[at : at + many]].sum()))
-            cols[1].append(a.hexdigest())
-            cols[2].append(b.hexdigest())
-            at += many
-        return pa.table({"doc_id": pa.array(docs, pa.int64()), "n_tokens": pa.array(cols[0], pa.int64()), "ids_sha256": pa.array(cols[1], pa.string()), "decoded_sha256": pa.array(cols[2], pa.string())})
+        docs, end = left.column("doc_id")[0].as_py(), np.cumsum(left.column("n_words")[0].values.to_numpy())
+        tokens = np.concatenate([[0], np.cumsum(size[places])])[np.concatenate([[0], end])]
+        # a number is followed by a space, the last one's is spare
+        cols = [pa.array(docs, pa.int64()), pa.array(np.diff(tokens)), pa.array(_digests(_words_of(numbers, flat, first), places, end, 1)), pa.array(_digests(_words_of(pieces, flat, first), places, end, 0))]
+        return pa.table(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
@@ -495,7 +519,7 @@ def _assembled(shared):
 def encoded(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
     ranks = read_ranks(rank_path)
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, {i: p for p, i in ranks.items()}, {i: str(i) for i in ranks.values()}))
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, _by_id({i: p for p, i in ranks.items()}), _by_id({i: b"%d " % i for i in ranks.values()})))
     chunks = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_split(pattern), CHUNKS).repartition("chunk")
     # both uses of ``chunks`` read all its columns, so that Spark shuffles it once and reuses the exchange
     asked = chunks.mapInArrow(_asked, "chunk long, place int, word binary")

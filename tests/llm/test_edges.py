@@ -1,14 +1,18 @@
 """Cases beside the common fixture: shuffled inputs, clashing names, special tokens, hot keys, empty tables."""
 
+import hashlib
+import sys
 import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from dendrospark.llm import packing, passages, quality, secrets, skew, topk, toxicity, warc
+from dendrospark.llm import bpe, packing, passages, quality, secrets, skew, topk, toxicity, warc
 
 
 def prose(seed, n):
@@ -92,6 +96,50 @@ def test_scoring_holds_little_and_no_score_depends_on_its_neighbours():
     assert peak < 64 << 20, peak
 
 
+def test_bpe_puts_documents_together_without_a_call_for_each_word(monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [b"w%d" % i for i in range(20000)] + [b"w" * 600]
+    numbers = {bytes([i]): 3 * i for i in range(256)}
+    ids = [[numbers[w[i : i + 1]] for i in range(len(w))] for w in words]
+    many = [0, 150, 0, 0, 1, *rng.integers(0, 900, 60).tolist(), 0]
+    places = rng.integers(0, len(words), sum(many)).astype("<u4")
+    pack = zstandard.ZstdCompressor().compress
+    left = pa.table({"chunk": [1], "doc_id": [[None, *range(1, len(many))]], "n_words": [many], "places": [pack(places.tobytes())], "words": [bpe._joined(np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words]))]})
+    parts = [rng.permutation(20000)[:12000], None]
+    parts[1] = np.setdiff1d(np.arange(20000), parts[0])
+    answers = [pack(np.concatenate([[len(x)], x, [len(ids[i]) for i in x], np.concatenate([ids[i] for i in x])]).astype("<u4").tobytes()) for x in parts]
+    right = pa.table({"chunk": [1, 1], "answers": pa.array(answers, pa.binary())})
+    run = bpe._assembled(SimpleNamespace(value=(numbers, bpe._by_id({i: p for p, i in numbers.items()}), bpe._by_id({i: b"%d " % i for i in numbers.values()}))))
+    want, at = [], 0
+    for d, n in enumerate(many):
+        mine = places[at : at + n]
+        at += n
+        flat = [i for w in mine for i in ids[w]]
+        want.append((d or None, len(flat), hashlib.sha256(" ".join(map(str, flat)).encode()).hexdigest(), hashlib.sha256(b"".join(words[w] for w in mine)).hexdigest()))
+    made = [0]
+
+    def count(frame, event, arg):
+        made[0] += event in ("call", "c_call")
+
+    monkeypatch.setattr(bpe, "merge_long", lambda word, ranks: ids[-1])
+    sys.setprofile(count)
+    got = run(left, right)
+    sys.setprofile(None)
+    assert made[0] < 3000, made
+    assert [tuple(r.values()) for r in got.to_pylist()] == want
+    monkeypatch.setattr(bpe, "BLOCK", 100)
+    assert run(left, right) == got
+
+
+def test_the_fold_merges_repetitive_words_as_the_heap_does(spark):
+    rng = np.random.default_rng(6)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = bpe.read_ranks(path)
+    words = [bytes(rng.choice(list(letters), n).tolist()) for letters in (b"a", b"ab", b" the", b"=-", bytes(range(256))) for n in (2, 3, 17, 64, 512)]
+    got = spark.createDataFrame([(bytearray(w),) for w in words], "word binary").select("word", bpe.encode_column(F.col("word"), path).alias("ids")).collect()
+    assert len(got) == len(words) and all(r.ids == bpe.merge_long(bytes(r.word), ranks) for r in got)
+
+
 def test_two_documents_share_what_older_ones_have_in_halves(spark):
     p = prose(1, 70)
     data = {1: prose(2, 20) + p[:35] + prose(3, 20), 2: prose(4, 20) + p[35:] + prose(5, 20), 3: prose(6, 20) + p + prose(7, 20), 4: prose(8, 9) + p + prose(9, 30)}
