@@ -1,17 +1,27 @@
 """Dimension reduction and tree learning on aggregated matrices.
 
-PCA needs the genes x genes covariance, which Spark sums from cells; minimum spanning trees and DDRTree's alternating steps run in numpy
-on the driver over K centres, or over all cells where there are few (checked).
+PCA needs the genes x genes covariance, which Spark sums from cells. DDRTree's alternating steps run in numpy over K centres; what they need of
+the cells is summed by Spark, or on the driver where cells are few. Minimum spanning trees are made on the driver with memory linear in the points.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..store import cut
 
 MOST_GENES = 5000
-MOST_POINTS = 20_000
+#: Cells of a principal graph on the driver, as numbers: some 200 bytes each.
+MOST_POINTS = 5_000_000
+#: Up to so many points a tree is made by Prim's all pairs.
+FEW_POINTS = 2000
+MOST_CENTRES = 5000
+#: Cells of a packed block.
+PACK = 2048
 
 
 def gram(x: DataFrame) -> tuple[list, np.ndarray]:
@@ -60,10 +70,13 @@ def pca(x: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def minimum_spanning_tree(points: np.ndarray) -> list[tuple[int, int, float]]:
-    """Prim on Euclidean distances with memory linear in the points: (parent, node, length)."""
+    """Edges (node, node, length) of a tree of least Euclidean length, with memory linear in the points: Prim for few points, else Boruvka's rounds over
+    blocks of near points. Where lengths are all different both give the same edges; equal points hang from the first of them either way."""
+    return _prim(points) if len(points) <= FEW_POINTS else _boruvka(points)
+
+
+def _prim(points: np.ndarray) -> list[tuple[int, int, float]]:
     n = len(points)
-    if n > MOST_POINTS:
-        raise ValueError("too many points for a tree on the driver")
     best, parent, inside = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool)
     out, at = [], 0
     for _ in range(n - 1):
@@ -76,6 +89,79 @@ def minimum_spanning_tree(points: np.ndarray) -> list[tuple[int, int, float]]:
     return out
 
 
+def near_blocks(points: np.ndarray, most: int) -> list[np.ndarray]:
+    """Indexes of the points in blocks of at most ``most``, cut at medians of the widest side."""
+    out, todo = [], [np.arange(len(points))]
+    while todo:
+        at = todo.pop()
+        if len(at) <= most:
+            out.append(at)
+            continue
+        x = points[at]
+        k = int((x.max(axis=0) - x.min(axis=0)).argmax())
+        half = np.argpartition(x[:, k], len(at) // 2)
+        todo += [at[half[len(at) // 2 :]], at[half[: len(at) // 2]]]
+    return out
+
+
+def _boruvka(points: np.ndarray, size: int = 64, step: int = 8) -> list[tuple[int, int, float]]:
+    """A round finds every part's nearest point of another part. A block of points looks at other blocks by the distance of their boxes, and stops where that is
+    over what its parts have found, so a round takes some multiple of the points and not of their pairs."""
+    own, first, which = np.unique(points + 0.0, axis=0, return_index=True, return_inverse=True)
+    which = which.ravel()
+    blocks = near_blocks(own, size)
+    order = np.concatenate(blocks)
+    x, name = own[order], first[order]
+    starts = np.cumsum([0, *(len(b) for b in blocks)])
+    heads = starts[:-1]
+    lo, hi = np.minimum.reduceat(x, heads, axis=0), np.maximum.reduceat(x, heads, axis=0)
+    n = len(x)
+    part, edges = np.arange(n), []
+    while True:
+        least, most = np.minimum.reduceat(part, heads), np.maximum.reduceat(part, heads)
+        if least.min() == most.max():
+            break
+        best, one, two = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, int)
+        for k in range(len(heads)):
+            a = slice(starts[k], starts[k + 1])
+            mine = part[a]
+            gap = (np.maximum(0, np.maximum(lo[k] - hi, lo - hi[k])) ** 2).sum(axis=1)
+            fit = np.flatnonzero((gap <= best[mine].max()) & ~((least == most) & (least == least[k]) & (least[k] == most[k])))
+            fit = fit[np.argsort(gap[fit], kind="stable")]
+            for i in range(0, len(fit), step):
+                some = fit[i : i + step]
+                some = some[gap[some] <= best[mine].max()]
+                if not len(some):
+                    break
+                at = np.concatenate([np.arange(starts[j], starts[j + 1]) for j in some])
+                d = np.zeros((len(mine), len(at)))
+                for c in range(x.shape[1]):
+                    d += (x[a, c][:, None] - x[at, c]) ** 2
+                d[mine[:, None] == part[at]] = np.inf
+                j = d.argmin(axis=1)
+                found = d[np.arange(len(mine)), j]
+                for r in np.flatnonzero(found < best[mine]):
+                    if found[r] < best[mine[r]]:
+                        best[mine[r]], one[mine[r]], two[mine[r]] = found[r], starts[k] + r, at[j[r]]
+        up = np.arange(n)
+        for c in np.flatnonzero(np.isfinite(best)).tolist():
+            i, j = int(part[one[c]]), int(part[two[c]])
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            while up[j] != j:
+                up[j] = up[up[j]]
+                j = up[j]
+            if i != j:
+                up[max(i, j)] = min(i, j)
+                edges.append((int(name[one[c]]), int(name[two[c]]), float(np.sqrt(best[c]))))
+        while (up[up] != up).any():
+            up = up[up]
+        part = up[part]
+    again = np.setdiff1d(np.arange(len(points)), first, assume_unique=True)
+    return edges + [(int(i), int(j), 0.0) for i, j in zip(first[which[again]], again, strict=True)]
+
+
 def ddrtree(x: np.ndarray, dim: int = 2, ncenter: int | None = None, sigma: float = 1e-3, lam: float | None = None, gamma: float = 10.0, maxiter: int = 20, tol: float = 1e-3, seed: int = 0) -> dict:
     """Discriminative dimension reduction with a tree (Mao, Wang, Goodison, Sun, KDD 2015) of x (genes x cells).
 
@@ -114,6 +200,124 @@ def ddrtree(x: np.ndarray, dim: int = 2, ncenter: int | None = None, sigma: floa
     return {"W": w, "Z": z, "Y": y, "edges": minimum_spanning_tree(y.T), "objective": history, "closest": ((z[:, :, None] - y[:, None, :]) ** 2).sum(axis=0).argmin(axis=1)}
 
 
+def _soft(z: np.ndarray, y: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares of the cells (cells x dim) in the centres (dim x centres), the terms of the objective, and squared distances."""
+    d2 = sum((z[:, k, None] - y[k]) ** 2 for k in range(z.shape[1]))
+    low = d2.min(axis=1, keepdims=True)
+    r = np.exp(-(d2 - low) / sigma)
+    norm = r.sum(axis=1, keepdims=True)
+    r /= norm
+    return r, low - sigma * np.log(norm), d2
+
+
+def packed(x: DataFrame, genes: list, n_cells: int) -> DataFrame:
+    """values(cell_id, gene_id, value) -> block, ids, x: rows of some PACK cells with all genes, as doubles; by cell_id in a block."""
+    blocks = max(1, -(-n_cells // PACK))
+    kind = x.schema["cell_id"].dataType.simpleString()
+    names, g = np.array(genes), len(genes)
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, at = np.unique(t.column("cell_id").to_numpy(), return_inverse=True)
+        m = np.zeros((len(ids), g))
+        m[at, np.searchsorted(names, t.column("gene_id").to_numpy().astype(names.dtype))] = t.column("value").to_numpy()
+        return pa.table({"block": t.column("block").slice(0, 1), "ids": pa.array([ids.tolist()], pa.list_(t.schema.field("cell_id").type)), "x": pa.array([m.tobytes()], pa.binary())})
+
+    rows = x.select(F.pmod(F.xxhash64("cell_id"), F.lit(blocks)).cast("int").alias("block"), "cell_id", "gene_id", F.col("value").cast("double").alias("value"))
+    return cut(rows.repartition(min(blocks, 1000), "block").groupBy("block").applyInArrow(run, f"block int, ids array<{kind}>, x binary"), "packed")
+
+
+def _sums(table: DataFrame, g: int, body) -> np.ndarray:
+    """The sum over blocks of body(x) (a matrix), its rows summed by tasks of their own; what the driver gets is one matrix, however many blocks there are."""
+
+    def parts(batches):
+        total, first = None, None
+        for batch in batches:
+            for block, raw in zip(batch.column("block").to_pylist(), batch.column("x"), strict=True):
+                m = body(np.frombuffer(raw.as_buffer(), dtype=float).reshape(-1, g))
+                total, first = (m, block) if total is None else (total + m, first)
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(total)), pa.int32()), "block": pa.array([first] * len(total), pa.int32()), "v": pa.array([r.tobytes() for r in total], pa.binary())})
+
+    def add(t: pa.Table) -> pa.Table:
+        t = t.sort_by("block")
+        return pa.table({"k": t.column("k").slice(0, 1), "v": pa.array([sum(np.frombuffer(v.as_buffer(), dtype=float) for v in t.column("v")).tobytes()], pa.binary())})
+
+    got = table.select("block", "x").mapInArrow(parts, "k int, block int, v binary").groupBy("k").applyInArrow(add, "k int, v binary").toArrow().sort_by("k")
+    return np.stack([np.frombuffer(v.as_buffer(), dtype=float) for v in got.column("v")])
+
+
+def ddrtree_of(table: DataFrame, genes: int, dim: int = 2, ncenter: int | None = None, sigma: float = 1e-3, lam: float | None = None, gamma: float = 10.0, maxiter: int = 20, tol: float = 1e-3, seed: int = 0) -> dict:
+    """``ddrtree`` of packed cells. A step needs of the cells only sums: x r, r'r and the shares' totals (genes + centres rows of one number a centre);
+    a cell's place and shares follow from its values and the steps' small matrices, so tasks work them out anew and no table of cells x centres is kept.
+
+    Returns W, Y, edges, the objective, and cells(cell_id, coords, node).
+    """
+    ids = np.sort(np.concatenate([np.asarray(v, dtype=object) for v in table.select("ids").toArrow().column("ids").to_pylist()]))
+    n = len(ids)
+    k = ncenter or n
+    if k > MOST_CENTRES:
+        raise ValueError(f"DDRTree may have {MOST_CENTRES} centres")
+    lam = 5.0 * n if lam is None else lam
+    first = _sums(table, genes, lambda x: np.vstack([x.T @ x, x.sum(axis=0)]))
+    s, mean = first[:-1], first[-1] / n
+    w = np.linalg.eigh(s - n * np.outer(mean, mean))[1][:, ::-1][:, :dim]
+    chosen = set(ids[np.sort(np.random.default_rng(seed).choice(n, k, replace=False))].tolist())
+
+    def pick(batches):
+        for batch in batches:
+            for own, raw in zip(batch.column("ids").to_pylist(), batch.column("x"), strict=True):
+                at = [i for i, c in enumerate(own) if c in chosen]
+                x = np.frombuffer(raw.as_buffer(), dtype=float).reshape(-1, genes)
+                yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in at], id_type), pa.array([x[i].tobytes() for i in at], pa.binary())], ["cell_id", "x"])
+
+    kind = table.schema["ids"].dataType.elementType
+    id_type = to_arrow_type(kind)
+    some = table.select("ids", "x").mapInArrow(pick, f"cell_id {kind.simpleString()}, x binary").toArrow().sort_by("cell_id")
+    y = w.T @ np.stack([np.frombuffer(v.as_buffer(), dtype=float) for v in some.column("x")], axis=1)
+    states = [(w, None, y)]
+    xz, zz = s @ w, w.T @ s @ w
+
+    def place(x: np.ndarray) -> tuple:
+        z, shares = None, None
+        for w_, q_, y_ in states:
+            z = x @ w_ if q_ is None else (x @ w_ + shares @ q_.T) / (gamma + 1)
+            shares, terms, d2 = _soft(z, y_, sigma)
+        return z, shares, terms, d2
+
+    def body(x: np.ndarray) -> np.ndarray:
+        _, r, terms, _ = place(x)
+        return np.vstack([x.T @ r, r.T @ r, r.sum(axis=0), np.full(r.shape[1], terms.sum())])
+
+    history: list[float] = []
+    for _ in range(maxiter):
+        b = np.zeros((k, k))
+        for i, j, _d in minimum_spanning_tree(y.T):
+            b[i, j] = b[j, i] = 1
+        lap = np.diag(b.sum(axis=1)) - b
+        got = _sums(table, genes, body)
+        p, r2, total, terms = got[:genes], got[genes:-2], got[-2], got[-1][0]
+        objective = float(np.trace(s) - 2 * np.trace(w.T @ xz) + np.trace(zz) + lam * np.trace(y @ lap @ y.T) + gamma * terms)
+        history.append(objective)
+        if len(history) > 1 and abs(history[-2] - objective) / abs(history[-2]) < tol:
+            break
+        m = lam / gamma * lap + np.diag(total)
+        q = np.linalg.solve(((gamma + 1) / gamma * m - r2).T, p.T).T
+        c = s + q @ p.T
+        w = np.linalg.eigh((c + c.T) / 2)[1][:, ::-1][:, :dim]
+        y = np.linalg.solve(m, (w.T @ (p + q @ r2) / (gamma + 1)).T).T
+        xz, zz = (s + p @ q.T) @ w / (gamma + 1), w.T @ (s + p @ q.T + q @ p.T + q @ r2 @ q.T) @ w / (gamma + 1) ** 2
+        states.append((w, w.T @ q, y))
+
+    def ends(batches):
+        for batch in batches:
+            for own, raw in zip(batch.column("ids").to_pylist(), batch.column("x"), strict=True):
+                z, _, _, d2 = place(np.frombuffer(raw.as_buffer(), dtype=float).reshape(-1, genes))
+                yield pa.RecordBatch.from_arrays([pa.array(own, id_type), pa.array(z.tolist(), pa.list_(pa.float64())), pa.array(d2.argmin(axis=1), pa.int64())], ["cell_id", "coords", "node"])
+
+    cells = cut(table.select("ids", "x").mapInArrow(ends, f"cell_id {kind.simpleString()}, coords array<double>, node long"), "ddrtree")
+    return {"W": w, "Y": y, "edges": minimum_spanning_tree(y.T), "objective": history, "cells": cells}
+
+
 def tsne(x: np.ndarray, dim: int = 2, perplexity: float | None = None, iterations: int = 500, seed: int = 2016) -> np.ndarray:
     """Exact t-SNE of few points (checked) with early exaggeration and momentum."""
     n = len(x)
