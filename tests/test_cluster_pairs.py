@@ -9,7 +9,7 @@ from dendrospark.operators import cluster
 @pytest.fixture(params=[(2, 0.0), (16, 0.0), (16, 1e4)])
 def cloud(request, spark, monkeypatch):
     dim, offset = request.param
-    monkeypatch.setattr(cluster, "TILE", 32)
+    monkeypatch.setattr(cluster, "TILE", 16)
     monkeypatch.setattr(cluster, "SIDE", 60)
     rng = np.random.default_rng(dim)
     x = np.concatenate([rng.normal(c, 0.5, (60, dim)) for c in (0, 3, 6)]) + offset
