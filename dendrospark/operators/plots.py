@@ -158,7 +158,7 @@ def _on_branch(cds: CellDataset, state: int) -> DataFrame:
 def branches_in_pseudotime(cds: CellDataset, genes: DataFrame, states: list[int], labels: list[str] | None = None, norm_method: str = "raw", frac: float = 2 / 3) -> DataFrame:
     """cell_id, gene_id, feature_label, Branch, Pseudotime (0 to 100 on each branch), expression: LOWESS of each gene on each branch.
 
-    A task holds one gene's cells of one branch, at most ``reduce.MOST_POINTS`` (checked).
+    A task holds one gene's cells of one branch, at most ``reduce.MOST_POINTS`` (checked); its time is that of sorting them but for a factor.
     """
     few = cds.with_(genes=cds.genes.join(genes.select("gene_id").distinct(), "gene_id", "left_semi"))
     grid = few.dense().join(few.cells.select("cell_id", "Pseudotime"), "cell_id")
