@@ -400,6 +400,47 @@ def nearest_node(points: DataFrame, nodes: DataFrame) -> DataFrame:
     return points.select(F.col("cell_id").cast("long"), "coords").mapInArrow(run, "cell_id long, node long, distance double")
 
 
+def neighbours(points: DataFrame, k: int) -> DataFrame:
+    """points(cell_id, coords) -> cell_id, ids, squares: the k nearest others by distance, then cell_id, and their squared distances."""
+    kind = points.schema["cell_id"].dataType.simpleString()
+
+    def nearest(ids: np.ndarray, d: np.ndarray) -> np.ndarray:
+        near = np.argpartition(d, k - 1)[:k] if len(d) > k else np.arange(len(d))
+        near = np.flatnonzero(d <= d[near].max(initial=-np.inf)) if len(d) > k else near
+        return near[np.lexsort((ids[near], d[near]))][:k]
+
+    def body(a: dict, b: dict, same: bool) -> pa.Table:
+        cells, others, squares = [], [], []
+        for p, q in ((a, b), (b, a))[: 1 if same else 2]:
+            t = Tiles(p, q, False)
+            for i in range(0, len(p["cell_id"]), TILE):
+                r = slice(i, min(i + TILE, len(p["cell_id"])))
+                d = t.squares(r, slice(0, len(q["cell_id"])))
+                if same:
+                    d[np.arange(r.stop - r.start), np.arange(r.start, r.stop)] = np.inf
+                for c, row in zip(p["cell_id"][r].tolist(), d, strict=True):
+                    j = nearest(q["cell_id"], row)
+                    j = j[np.isfinite(row[j])]
+                    cells.append(c)
+                    others.append(q["cell_id"][j])
+                    squares.append(row[j])
+        return pa.table({"cell_id": pa.array(cells), "ids": pa.array(others), "squares": pa.array(squares, pa.list_(pa.float64()))}).cast(pa.schema([("cell_id", pa.array(cells[:1]).type), ("ids", pa.list_(pa.array(cells[:1]).type)), ("squares", pa.list_(pa.float64()))]))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, squares = [], []
+            for own, d in zip(batch.column("ids"), batch.column("squares"), strict=True):
+                own, d = own.values.to_numpy(zero_copy_only=False), d.values.to_numpy(zero_copy_only=False)
+                j = nearest(own, d)
+                ids.append(own[j])
+                squares.append(d[j])
+            yield pa.RecordBatch.from_arrays([batch.column("cell_id"), pa.array(ids, batch.schema.field("ids").type), pa.array(squares, pa.list_(pa.float64()))], ["cell_id", "ids", "squares"])
+
+    schema = f"cell_id {kind}, ids array<{kind}>, squares array<double>"
+    found = _block_pairs(points, ["coords"], body, schema).groupBy("cell_id").agg(F.flatten(F.collect_list("ids")).alias("ids"), F.flatten(F.collect_list("squares")).alias("squares"))
+    return found.mapInArrow(best, schema)
+
+
 def distance_sums(points: DataFrame) -> DataFrame:
     """label, n, total: number and sum of the distances from a label's points to all others."""
 

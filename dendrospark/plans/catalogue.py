@@ -514,7 +514,7 @@ def _(s, d):
 
 @query("reduce_tsne")
 def _(s, d):
-    return trajectory.reduce_dimension(sized(s, d), reduction_method="tSNE", num_dim=10, iterations=100).state("X_dr")
+    return trajectory.reduce_dimension(sized(s, d), reduction_method="tSNE").state("X_dr")
 
 
 @query("mst")
