@@ -45,11 +45,17 @@ def chi2_sf(stat: float, df: int) -> float:
     return total
 
 
-def nb_loglik(y: np.ndarray, mu: np.ndarray, alpha: float) -> float:
+def nb_constant(y: np.ndarray, alpha: float) -> np.ndarray:
+    """The terms of ``nb_loglik`` that no mean changes."""
+    return _lgamma(y + 1) if alpha <= 0 else _lgamma(y + 1 / alpha) - math.lgamma(1 / alpha) - _lgamma(y + 1)
+
+
+def nb_loglik(y: np.ndarray, mu: np.ndarray, alpha: float, constant: np.ndarray | None = None) -> float:
+    constant = nb_constant(y, alpha) if constant is None else constant
     if alpha <= 0:
-        return float(np.sum(np.where(y > 0, y * np.log(np.maximum(mu, 1e-300)), 0) - mu - _lgamma(y + 1)))
+        return float(np.sum(np.where(y > 0, y * np.log(np.maximum(mu, 1e-300)), 0) - mu - constant))
     r = 1 / alpha
-    return float(np.sum(_lgamma(y + r) - math.lgamma(r) - _lgamma(y + 1) - r * np.log1p(alpha * mu) + np.where(y > 0, y * (np.log(np.maximum(alpha * mu, 1e-300)) - np.log1p(alpha * mu)), 0)))
+    return float(np.sum(constant - r * np.log1p(alpha * mu) + np.where(y > 0, y * (np.log(np.maximum(alpha * mu, 1e-300)) - np.log1p(alpha * mu)), 0)))
 
 
 def fit_glm(y: np.ndarray, x: np.ndarray, family: str, alpha: float = 0.0, maxit: int = 100) -> Fit:
@@ -62,6 +68,7 @@ def fit_glm(y: np.ndarray, x: np.ndarray, family: str, alpha: float = 0.0, maxit
     mu = (y + 0.5) / 2 if family == "binomial" else (y + max(y.mean(), 1e-8)) / 2
     eta = np.log(mu / (1 - mu)) if family == "binomial" else np.log(mu)
     beta, old = np.zeros(x.shape[1]), math.inf
+    constant = None if family == "binomial" else nb_constant(y, alpha)
     for _ in range(maxit):
         slope = mu * (1 - mu) if family == "binomial" else mu
         w = slope if family == "binomial" else mu / (1 + alpha * mu)
@@ -70,7 +77,7 @@ def fit_glm(y: np.ndarray, x: np.ndarray, family: str, alpha: float = 0.0, maxit
         beta = np.linalg.lstsq(x * sw[:, None], z * sw, rcond=None)[0]
         eta = np.clip(x @ beta, -30, 30)
         mu = 1 / (1 + np.exp(-eta)) if family == "binomial" else np.exp(eta)
-        llf = float(np.sum(y * np.log(np.maximum(mu, 1e-300)) + (1 - y) * np.log(np.maximum(1 - mu, 1e-300)))) if family == "binomial" else nb_loglik(y, mu, alpha)
+        llf = float(np.sum(y * np.log(np.maximum(mu, 1e-300)) + (1 - y) * np.log(np.maximum(1 - mu, 1e-300)))) if family == "binomial" else nb_loglik(y, mu, alpha, constant)
         if abs(llf - old) < 1e-10 * (abs(llf) + 0.1):
             break
         old = llf

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.formula import Design, formula_terms
 from ..functions.glm import Fit, fit_tobit, fit_with_fallback, lrt
 from ..sources.dataset import CellDataset
+from ..store import cut
 from .differential import bh_adjust
 
 #: A design row a cell travels with every gene's cells; the frame of covariates is on the driver up to this many cells.
@@ -75,7 +76,11 @@ def _per_gene(cds: CellDataset, designs: list[np.ndarray], cells: pd.DataFrame,
         a = _alpha(raw, disp, family)
         return body(part["gene_id"].iloc[0], [_fit(y, x, family, a) for x in xs])
 
-    return cds.expr.join(cds.genes.select("gene_id"), "gene_id", "left_semi").groupBy("gene_id").applyInPandas(run, schema)
+    spark = cds.expr.sparkSession
+    # a number of partitions of its own, or adaptive execution puts all genes into one task; fits are cut, as whoever reads them does so many times
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    rows = cds.expr.join(cds.genes.select("gene_id"), "gene_id", "left_semi").repartition(parts, "gene_id")
+    return cut(rows.groupBy("gene_id").applyInPandas(run, schema), "fits")
 
 
 def differential_gene_test(cds: CellDataset, full: str = "~sm.ns(Pseudotime, df=3)", reduced: str = "~1", relative_expr: bool = True) -> DataFrame:
